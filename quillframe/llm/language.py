@@ -36,7 +36,8 @@ class Settings:
     """buckets, dim: of the embedding table. sample: at most about so many labelled rows are learned from, evenly by language.
 
     window: of each sampled text, a slice of so many characters at most is
-    learned from (prediction reads whole texts). reject: share of right texts
+    learned from (prediction reads whole texts). epochs, steps: at least so
+    many passes and so many batches of 32. reject: share of right texts
     that calibration may turn away.
     """
 
@@ -46,6 +47,7 @@ class Settings:
     window: int = 3000
     languages: int = 256
     epochs: int = 6
+    steps: int = 1500
     rate: float = 1.0
     reject: float = 0.001
     seed: int = 11
@@ -148,9 +150,11 @@ def train(texts: list[str], labels: list[str], s: Settings) -> Model:
     bias = np.zeros(len(names), np.float32)
     ys = np.array(ys, np.int64)
     steps = 0
-    total = max(1, s.epochs * ((len(bags) + 31) // 32))
-    for _ in range(s.epochs):
-        for batch in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // 32)):
+    each = max(1, len(bags) // 32)
+    epochs = max(s.epochs, -(-s.steps // each))
+    total = each * epochs
+    for _ in range(epochs):
+        for batch in np.array_split(rng.permutation(len(bags)), each):
             index = np.concatenate([bags[i][0] for i in batch]) if len(batch) else np.empty(0, np.int64)
             if not len(index):
                 continue
@@ -182,7 +186,9 @@ def train(texts: list[str], labels: list[str], s: Settings) -> Model:
         score = np.exp(log_probability(model.temperature))
         right = np.sort(score.max(axis=1)[score.argmax(axis=1) == y])
         if len(right):
-            model.threshold = float(min(0.5, right[int(s.reject * len(right))]))
+            # Too few rows to know so small a share: half of the lowest right score.
+            rank = int(s.reject * len(right))
+            model.threshold = float(min(0.5, right[rank] if rank else right[0] / 2))
     return model
 
 

@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from quillframe.llm.common import cut, quoted
 
 #: Texts of these characters only are cut into words here as the tokenizer's own normalizer and splitter would: other white space, letters whose lower case has a mark, compatibility digits and whatever is beyond go through the tokenizer as a whole.
-PLAIN = re.compile("[\t-\r -~¡-¬®-±´-¸º»¿-įı-ɏ–—‘-”•…€]*")
+PLAIN = re.compile("[\t-\r -~¡-¬®-±´-¸º»¿-įı-ſ–—‘-”•…€]*")
 WORDS = re.compile("[a-zªµºÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\s0-9a-zªµºÀ-ÖØ-öø-ɏ]+")
 #: Words that a worker remembers the ids of.
 REMEMBERED = 1_500_000

@@ -4,7 +4,9 @@ A code is cut into segments, each indexed by its value. Round t looks up every
 segment value at distance t of the unfinished queries' segments; a found code's
 whole Hamming distance is verified, and a pair is taken at its nearest segment
 only, so it is met once. Codes within segments * (t + 1) - 1 bits have then all
-been seen: a query is finished as soon as its kth distance is within that.
+been seen: a query is finished as soon as its kth distance is within that. When a round would look up more values than there are
+codes, the unfinished queries are compared with the remaining codes in blocks
+instead, which ends the search.
 
 Codes are indexed and searched once however many rows have them; a code keeps
 its k smallest ids, more can't be among a query's k nearest. Ties go to the
@@ -17,6 +19,7 @@ result. Other columns are ignored.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,7 +62,8 @@ def search_codes(queries: DataFrame, codes: DataFrame, k: int, segments: int = 4
     width = BITS // segments
     codes = cut(codes)
     # A query that asks for more rows than there are ends when all are found.
-    k = min(k, codes.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0])
+    n_codes, n_ids = codes.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    k = min(k, n_ids)
     index = codes.select("code", "ids", F.posexplode(F.array(*(segment(F.col("code"), j, width) for j in range(segments)))).alias("j", "value"))
     index = cut(index.repartition("j", "value"))
     best = None
@@ -69,18 +73,24 @@ def search_codes(queries: DataFrame, codes: DataFrame, k: int, segments: int = 4
     for t in range(width + 1):
         if k == 0 or open_queries.isEmpty():
             break
-        probes = open_queries.select("q", F.posexplode(F.array(*(segment(F.col("q"), j, width) for j in range(segments)))).alias("j", "own"))
-        probes = probes.select("q", "j", "own", F.explode(F.array(*(F.lit(m) for m in masks(width, t))) if t <= 3 else _deep(width, t)).alias("mask")).select("q", "j", F.col("own").bitwiseXOR(F.col("mask").cast("long")).alias("value"))
-        met = probes.join(index, ["j", "value"])
         apart = [F.bit_count(segment(F.col("q").bitwiseXOR(F.col("code")), j, width)) for j in range(segments)]
-        first = F.lit(segments)
-        for j in reversed(range(segments)):
-            first = F.when(apart[j] == t, F.lit(j)).otherwise(first)
-        met = met.where((F.least(*apart) == t) & (F.col("j") == first))
+        last = comb(width, t) * segments > n_codes
+        if last:
+            met = in_blocks(open_queries, codes, n_codes).where(F.least(*apart) >= t)
+        else:
+            probes = open_queries.select("q", F.posexplode(F.array(*(segment(F.col("q"), j, width) for j in range(segments)))).alias("j", "own"))
+            probes = probes.select("q", "j", "own", F.explode(F.array(*(F.lit(m) for m in masks(width, t))) if t <= 2 else _deep(width, t)).alias("mask")).select("q", "j", F.col("own").bitwiseXOR(F.col("mask").cast("long")).alias("value"))
+            first = F.lit(segments)
+            for j in reversed(range(segments)):
+                first = F.when(apart[j] == t, F.lit(j)).otherwise(first)
+            met = probes.join(index, ["j", "value"]).where((F.least(*apart) == t) & (F.col("j") == first))
         found = met.select("q", hamming(F.col("q"), F.col("code")).alias("distance"), F.explode("ids").alias("id"))
         if best is not None:
             found = found.unionByName(best)
         ranked = cut(found.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k))
+        if last:
+            finished.append(ranked)
+            break
         over = ranked.groupBy("q").agg(F.max("n").alias("n"), F.max("distance").alias("d")).where((F.col("n") == k) & (F.col("d") <= segments * (t + 1) - 1)).select("q")
         over = cut(over)
         finished.append(ranked.join(over, "q", "left_semi"))
@@ -98,6 +108,14 @@ def _deep(width: int, t: int) -> Column:
     return F.filter(numbers, lambda x: F.bit_count(x) == t)
 
 
+def in_blocks(queries: DataFrame, codes: DataFrame, n_codes: int, block: int = 2048) -> DataFrame:
+    """Every query of the stated set with every code, a block of codes at a time."""
+    blocks = max(1, -(-n_codes // block))
+    dealt = codes.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)))
+    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
+    return asked.join(dealt, "block").drop("block")
+
+
 def hamming_top_k(vectors: DataFrame, k: int = 10, every: int = 20, segments: int = 4, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, neighbor_id, distance and rank: for each row whose id is divisible by every, its k nearest of all rows."""
     rows = vectors.select(quoted(id_column).cast("long").alias("id"), sign_code(quoted(vector)).alias("code")).where(F.col("id").isNotNull() & quoted(vector).isNotNull())

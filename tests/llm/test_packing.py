@@ -63,7 +63,7 @@ def test_ids_of_odd_texts(whole):
 
 def test_every_plain_character_splits_as_the_tokenizer_does(whole):
     plain = [chr(c) for c in range(0x3000) if packing.PLAIN.fullmatch(chr(c))]
-    assert len(plain) > 600
+    assert len(plain) > 300
     texts = [f"a{c}b {c}1{c} {c}{c}s" for c in plain]
     got = packing.WordTokenizer(TOKENIZER).encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole.encode(x, add_special_tokens=False).ids for x in texts]
