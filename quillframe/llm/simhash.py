@@ -203,13 +203,13 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def components(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """(doc_id, fp) rows -> (fp, component_id): for each distinct fingerprint, the smallest doc_id that links can reach."""
+    """(doc_id, fp) rows -> (fp, root, component_id): for each distinct fingerprint, the smallest fingerprint and the smallest doc_id that links can reach."""
     least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(least.select("fp"), radius))
     rooted = least.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "component_id")
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4) -> DataFrame:
@@ -224,6 +224,6 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4, words_per_shingle: in
     keyed = docs.withColumn(key, row_key(quoted("doc_id"), quoted("text")))
     prints = cut(fingerprints(keyed, words_per_shingle, keep=("doc_id", key)).select("doc_id", F.col(key).alias("k"), "fp"))
     roots = components(prints, radius)
-    kept = prints.join(roots, "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("null_component")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "k")).alias("least"))
+    kept = prints.join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "k")).alias("least"))
     kept = kept.select(F.col("least.k").alias(key)).distinct()
     return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
