@@ -33,7 +33,7 @@ from quillframe.llm.common import cut, quoted
 PLAIN = re.compile("[\t-\r -~¡-¬®-±´-¸º»¿-įı-ſ–—‘-”•…€]*")
 WORDS = re.compile("[a-zªµºÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\s0-9a-zªµºÀ-ÖØ-öø-ɏ]+")
 #: Words that a worker remembers the ids of.
-REMEMBERED = 1_500_000
+REMEMBERED = 200_000
 #: Rests that a group of the first round holds on average.
 PER_GROUP = 20_000
 
