@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.geometry import ratio
-from quillframe.plans.scoring import SUMMED_SQL, SUMS, facts, r6
+from quillframe.plans.scoring import COUNTS, SUMMED_SQL, facts, r6, sums
 from quillframe.plans.tables import Tables, query
 
 LATEST_SQL = ", latest as (select * from (select *, row_number() over (partition by dataset, model order by run_id desc) as n from runs) where n = 1)"
@@ -83,8 +83,8 @@ select tag, metric, round(diff, 6) as diff from d where abs(diff) >= 0.005 order
 def findings_topk(t: Tables) -> DataFrame:
     """The twelve slices that differ most from the whole."""
     c = F.col
-    f = facts(t).select(F.explode(F.array(F.lit("all"), F.concat(F.lit("lang="), "lang"), F.concat(F.lit("source="), "source"))).alias("tag"), *("n_gt n_pred n_pairs label_ok iou_sum".split()))
-    s = f.groupBy("tag").agg(F.count("*").alias("k"), *SUMS)
+    f = facts(t).select(F.explode(F.array(F.lit("all"), F.concat(F.lit("lang="), "lang"), F.concat(F.lit("source="), "source"))).alias("tag"), *COUNTS)
+    s = f.groupBy("tag").agg(F.count("*").alias("k"), *sums())
     m = s.select("tag", "k", F.explode(F.array(F.struct(F.lit("recall").alias("metric"), ratio(c("n_pairs"), c("n_gt")).alias("value")), F.struct(F.lit("label_acc").alias("metric"), ratio(c("label_ok"), c("n_pairs")).alias("value")))).alias("m")).select("tag", "k", "m.*")
     whole = m.where("tag = 'all'").select("metric", c("value").alias("whole"))
     d = m.where("tag <> 'all' and k >= 5").join(F.broadcast(whole), "metric").withColumn("diff", c("value") - c("whole")).where("abs(diff) >= 0.005")

@@ -34,7 +34,13 @@ def facts(t: Tables) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-SUMS = [F.sum(c).alias(c) for c in ("n_gt", "n_pred", "n_pairs", "label_ok", "iou_sum")]
+COUNTS = ("n_gt", "n_pred", "n_pairs", "label_ok", "iou_sum")
+
+
+def sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in COUNTS]
+
+
 SUMMED_SQL = """
 facts as (select lang, source, 1 as n_gt, 0 as n_pred, 0 as n_pairs, 0 as label_ok, 0.0::double as iou_sum from gt union all select lang, source, 0, 1, 0, 0, 0.0 from pred
   union all select lang, source, 0, 0, 1, case when g_label = p_label then 1 else 0 end, iou from pairs)
@@ -51,13 +57,13 @@ def ratios() -> list[Column]:
 
 @query(f", {SUMMED_SQL} select 'lang=' || lang as tag, {RATIOS_SQL} from facts group by lang")
 def detection_scores_by_tag(t: Tables) -> DataFrame:
-    return facts(t).groupBy("lang").agg(*SUMS).select(F.concat(F.lit("lang="), "lang").alias("tag"), *ratios())
+    return facts(t).groupBy("lang").agg(*sums()).select(F.concat(F.lit("lang="), "lang").alias("tag"), *ratios())
 
 
 @query(f", {SUMMED_SQL} select lang, source, {RATIOS_SQL} from facts group by grouping sets ((lang), (source), ())")
 def grouped_scores_grouping_sets(t: Tables) -> DataFrame:
-    sums = ", ".join(f"sum({c}) as {c}" for c in ("n_gt", "n_pred", "n_pairs", "label_ok", "iou_sum"))
-    return t.spark.sql(f"select lang, source, {sums} from {{f}} group by grouping sets ((lang), (source), ())", f=facts(t)).select("lang", "source", *ratios())
+    all_sums = ", ".join(f"sum({c}) as {c}" for c in COUNTS)
+    return t.spark.sql(f"select lang, source, {all_sums} from {{f}} group by grouping sets ((lang), (source), ())", f=facts(t)).select("lang", "source", *ratios())
 
 
 @query("select doc_id, cast(page as bigint) as page, i, j, round(iou, 6) as iou from cand")
