@@ -32,7 +32,7 @@ from quillframe.llm.common import cut, quoted
 #: Texts of these characters only are cut into words here as the tokenizer's own normalizer and splitter would: other white space, letters whose lower case has a mark, compatibility digits and whatever is beyond go through the tokenizer as a whole.
 PLAIN = re.compile("[\t-\r -~¡-¬®-±´-¸º»¿-įı-ſ–—‘-”•…€]*")
 WORDS = re.compile("[a-zªµºÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\s0-9a-zªµºÀ-ÖØ-öø-ɏ]+")
-#: Words that a worker remembers the ids of.
+#: Words that a worker remembers the ids of: the first it meets, which the common ones are among. Others are learned anew for each batch.
 REMEMBERED = 200_000
 #: Rests that a group of the first round holds on average.
 PER_GROUP = 20_000
@@ -73,14 +73,15 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         get = known.__getitem__
         found = [list(map(get, WORDS.findall(x.lower()))) if PLAIN.fullmatch(x) and "<|" not in x else None for x in texts]
         if known.new:
-            self.learn(sorted(known.new))
+            new, room = sorted(known.new), max(0, REMEMBERED - len(known))
             known.new.clear()
+            self.learn(new)
             found = [x if x is None else [y if y.__class__ is bytes else known[y] for y in x] for x in found]
+            for word in new[room:]:
+                del known[word]
         return [b"".join(x) if x is not None else np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for x, t in zip(found, texts, strict=True)]
 
 
