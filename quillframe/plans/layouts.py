@@ -132,13 +132,18 @@ reach as (select doc_id, page, ord as a, ord as b from gt where kind = 'text' an
 select doc_id, cast(page as bigint) as page, a as ord, min(b) as fragment from reach group by doc_id, page, a""")
 def fragment_components(t: Tables) -> DataFrame:
     """Transitive closure of near boxes: a page's boxes, which are few, meet in one group."""
-    return grouping.near_components(t.gt.where("kind = 'text' and ord % 3 <> 0"), PAGE, 4)
+    return grouping.near_components(t.gt.where("kind = 'text'"), PAGE, 4)
+
+
+def scattered(t: Tables) -> DataFrame:
+    """All elements, with gaps of -12 to 68 between neighbours, so that clusters have one element or many."""
+    return t.gt.selectExpr(*PAGE, "ord", "x0 + ord % 3 * 40 as x0", "y0 * 2 + (doc_id * 7 + ord * ord * 3) % 41 as y0", "x1 + ord % 3 * 40 as x1", "y0 * 2 + (doc_id * 7 + ord * ord * 3) % 41 + 20 as y1")
 
 
 @query()
 def figure_clusters(t: Tables) -> DataFrame:
     """Boxes merged while their hulls are near; tests compare with a plain loop."""
-    return grouping.merge_boxes(t.gt.where("ord % 4 = 0"), PAGE, 30)
+    return grouping.merge_boxes(scattered(t), PAGE, 30)
 
 
 @query()
