@@ -35,7 +35,7 @@ def medians(t: Tables) -> DataFrame:
 
 @query("select doc_id, text as header, count(distinct page) as n_pages from (select doc_id, page, substr(text, 1, 2) as text from gt where ord % 40 < 6) group by doc_id, text having count(distinct page) >= 2")
 def repeated_headers(t: Tables) -> DataFrame:
-    rows = t.gt.select(*PAGE, "ord", F.substring("text", 1, 2).alias("header"))
+    rows = t.gt.select(*PAGE, "ord", F.col("text").alias("header"))
     return layout.repeated_headers(rows, "doc_id", "page", "header", F.col("ord") % 40 < 6)
 
 

@@ -55,3 +55,13 @@ def test_fragment_components_have_a_row_for_every_text_line(spark):
     found = {(r["doc_id"], r["page"], r["ord"]): r["fragment"] for r in registry.queries()["fragment_components"](spark, SMALL).collect()}
     assert found == expected
     assert max(sizes) > 2
+
+
+def test_repeated_headers_compare_whole_texts(spark):
+    on = defaultdict(set)
+    for r in Tables(spark, "/root/testdata/sf0.01").gt.where("ord % 40 < 6").collect():
+        on[r["doc_id"], r["text"]].add(r["page"])
+    expected = {(*k, len(v)) for k, v in on.items() if len(v) >= 2}
+    found = registry.queries()["repeated_headers"](spark, "/root/testdata/sf0.01").collect()
+    assert {(r["doc_id"], r["header"], r["n_pages"]) for r in found} == expected
+    assert len(found) == len(expected) > 0
