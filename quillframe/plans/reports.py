@@ -93,8 +93,13 @@ def findings_topk(t: Tables) -> DataFrame:
 
 @query("select label, cast(n as bigint) as n, round(m, 4) as mean, round(sqrt(v), 4) as std from (select label, count(*) as n, avg(embedding[1]) as m, var_pop(embedding[1]) as v from embeddings group by label)")
 def standardise_features(t: Tables) -> DataFrame:
-    e = t.table("embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("x"))
-    return e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("std")).select(F.col("label"), "n", "mean", "std")
+    """Every vector less the means, over the population deviations (1 if under 1e-6) of the training fold's columns."""
+    e = t.table("embeddings").select("vec_id", "label", "embedding")
+    x = e.where("vec_id % 5 <> 0").select(F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    s = x.groupBy("i").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    s = s.agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("mean", F.when(F.col("std") < 1e-6, 1.0).otherwise(F.col("std")).alias("std"))))).alias("s"))
+    scaled = F.transform("embedding", lambda x, i: F.round((x.cast("double") - F.col("s")[i]["mean"]) / F.col("s")[i]["std"], 6))
+    return e.crossJoin(F.broadcast(s)).select("vec_id", "label", scaled.alias("features"))
 
 
 @query("""

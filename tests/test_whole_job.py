@@ -65,3 +65,21 @@ def test_repeated_headers_compare_whole_texts(spark):
     found = registry.queries()["repeated_headers"](spark, "/root/testdata/sf0.01").collect()
     assert {(r["doc_id"], r["header"], r["n_pages"]) for r in found} == expected
     assert len(found) == len(expected) > 0
+
+
+def test_standardise_features_scales_every_component(spark, tmp_path):
+    import numpy as np
+
+    given = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    flat = given.selectExpr("vec_id", "label", "transform(embedding, (x, i) -> if(i = 3, cast(0.25 as float), x)) as embedding")
+    flat.write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = flat.collect()
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    train = x[[r["vec_id"] % 5 != 0 for r in rows]]
+    std = train.std(axis=0)
+    assert std[3] < 1e-6
+    expected = dict(zip([r["vec_id"] for r in rows], (x - train.mean(axis=0)) / np.where(std < 1e-6, 1, std), strict=True))
+    found = registry.queries()["standardise_features"](spark, str(tmp_path)).collect()
+    assert len(found) == len(expected) == len(rows)
+    for r in found:
+        assert len(r["features"]) == 64 and np.allclose(r["features"], expected[r["vec_id"]], atol=2e-6)
