@@ -5,6 +5,11 @@ subwords are the 2 to 4 byte windows within a word and its borders. The mean
 of their embeddings goes through a linear softmax. As the mean and the layer
 are linear, prediction gathers one row of logits per subword.
 
+A softmax over the learned languages is sure of texts in others too, so a text
+is accepted if its score and the share of its subwords that were learned both
+reach what all but a small share of right held-out texts reach. For the share,
+each learned text is also held against all others.
+
 Texts that are null or have no letter are "und" with score 0 and rejected. A
 null or blank label is not learned. Ids and other columns are never inputs. If
 no row can be learned from, every text is "und".
@@ -38,7 +43,7 @@ class Settings:
     window: of each sampled text, a slice of so many characters at most is
     learned from (prediction reads whole texts). epochs, steps: at least so
     many passes and so many batches of 32. reject: share of right texts
-    that calibration may turn away.
+    that calibration may turn away, half by score and half by known subwords.
     """
 
     buckets: int = 1 << 16
@@ -56,17 +61,24 @@ class Settings:
 @dataclass
 class Model:
     languages: list[str]
-    logits: np.ndarray  # of each bucket
+    logits: np.ndarray  # of each bucket; the last column is 1 where it was learned
     bias: np.ndarray
     temperature: float
-    threshold: float
+    threshold: float  # of the score
+    known: float  # least share of learned subwords
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def means(self, texts: list[str | None]) -> np.ndarray:
         sums, counts = subword_sums(texts, self.logits)
-        x = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
+        return sums / np.maximum(counts, 1)[:, None]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores and whether they are accepted."""
+        means = self.means(texts)
+        x = (means[:, :-1] + self.bias) / self.temperature
         x = np.exp(x - x.max(axis=1, keepdims=True))
         x /= x.sum(axis=1, keepdims=True)
-        return [self.languages[i] for i in x.argmax(axis=1)], x.max(axis=1)
+        score = x.max(axis=1)
+        return [self.languages[i] for i in x.argmax(axis=1)], score, (score >= self.threshold) & (means[:, -1] >= self.known)
 
 
 def windows(data: np.ndarray, size: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,13 +126,13 @@ def subword_sums(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray
     return sums, counts
 
 
-def examples(texts: list[str], rng: np.random.Generator) -> list[str]:
+def examples(texts: list[str], rng: np.random.Generator, some: int = 3) -> list[str]:
     """Of each text, itself and a few runs of 1 to 12 words, so that short texts are learned too."""
     out = []
     for text in texts:
         words = text.split()
         runs = [text]
-        for _ in range(3):
+        for _ in range(some):
             n = int(rng.integers(1, 13))
             at = int(rng.integers(0, max(1, len(words) - n + 1)))
             runs.append(" ".join(words[at : at + n]))
@@ -136,15 +148,16 @@ def train(texts: list[str], labels: list[str], s: Settings) -> Model:
     y_all = np.array([names.index(x) for x in labels])
     held = order[: len(order) // 10]
     learn = order[len(order) // 10 :]
-    bags, ys = [], []
+    bags, ys, wholes = [], [], []
     for i in learn:
-        for run in examples([texts[i]], rng)[0]:
+        for k, run in enumerate(examples([texts[i]], rng)[0]):
             data, _ = joined([run])
             found = [at[fine] for at, fine in (windows(data, n, s.buckets) for n in SIZES)]
             index, count = np.unique(np.concatenate(found), return_counts=True)
             if len(index):
                 bags.append((index, (count / count.sum()).astype(np.float32)))
                 ys.append(y_all[i])
+                wholes += bags[-1:] if k == 0 else []
     table = (rng.standard_normal((s.buckets, s.dim)) / s.dim).astype(np.float32)
     layer = np.zeros((s.dim, len(names)), np.float32)
     bias = np.zeros(len(names), np.float32)
@@ -172,11 +185,19 @@ def train(texts: list[str], labels: list[str], s: Settings) -> Model:
             # An embedding's gradient is small, as its share of a bag is; it takes a larger step.
             np.add.at(table, index, -rate * 4 * weight * np.repeat(back, sizes, axis=0))
             steps += 1
-    model = Model(names, (table @ layer).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
-    if len(held):
-        sums, counts = subword_sums([texts[i] for i in held], model.logits)
-        x = sums / np.maximum(counts, 1)[:, None] + bias
-        y = y_all[held]
+    # In how many texts each bucket is: a text's own does not make its subwords known when it is held against the others.
+    number = np.zeros(s.buckets, np.int64)
+    for index, _ in wholes:
+        number[index] += 1
+    without = [weight[number[index] > 1].sum(dtype=np.float64) for index, weight in bags]
+    model = Model(names, np.hstack([table @ layer, (number > 0)[:, None]]).astype(np.float32), bias.astype(np.float64), 1.0, 0.0, 0.0)
+    # So many short runs, which calibration would turn away most, that the share is a few of them, however few the texts are.
+    some = max(3, int(4 / s.reject / max(1, len(held))))
+    runs = [(run, y_all[i]) for i in held for run in examples([texts[i]], rng, some)[0] if has_letter(run)]
+    if runs:
+        means = model.means([run for run, _ in runs])
+        x = means[:, :-1] + bias
+        y = np.array([y for _, y in runs])
 
         def log_probability(t: float) -> np.ndarray:
             z = x / t
@@ -184,11 +205,11 @@ def train(texts: list[str], labels: list[str], s: Settings) -> Model:
 
         model.temperature = float(min(np.geomspace(0.2, 5, 41), key=lambda t: -log_probability(t)[np.arange(len(y)), y].mean()))
         score = np.exp(log_probability(model.temperature))
-        right = np.sort(score.max(axis=1)[score.argmax(axis=1) == y])
-        if len(right):
-            # Too few rows to know so small a share: half of the lowest right score.
-            rank = int(s.reject * len(right))
-            model.threshold = float(min(0.5, right[rank] if rank else right[0] / 2))
+        right = score.argmax(axis=1) == y
+        if right.any():
+            for name, values in (("threshold", score.max(axis=1)[right]), ("known", np.append(means[right, -1], without))):
+                # A sum in another order may differ in the last digits.
+                setattr(model, name, float(np.sort(values)[int(s.reject / 2 * len(values))]) - 1e-6)
     return model
 
 
@@ -231,11 +252,10 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
                 batch = big.slice(at, 512)
                 found = np.array(batch.column(batch.num_columns - 2).to_pylist(), bool)
                 if model is None:
-                    langs, scores = ["und"] * len(found), np.zeros(len(found))
+                    langs, scores, accepted = ["und"] * len(found), np.zeros(len(found)), np.zeros(len(found), bool)
                 else:
-                    langs, scores = model.predict(batch.column(batch.num_columns - 1).to_pylist())
-                    langs, scores = [x if f else "und" for x, f in zip(langs, found, strict=True)], np.where(found, scores, 0.0)
-                accepted = found & (scores >= model.threshold) if model is not None else np.zeros(len(found), bool)
+                    langs, scores, accepted = model.predict(batch.column(batch.num_columns - 1).to_pylist())
+                    langs, scores, accepted = [x if f else "und" for x, f in zip(langs, found, strict=True)], np.where(found, scores, 0.0), found & accepted
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(langs), pa.array(scores), pa.array(accepted)], names=[*batch.schema.names[:-2], *names])
 
     schema = rows.drop(letter, whole).schema
@@ -255,5 +275,5 @@ def keep_identified(docs: DataFrame, settings: Settings | None = None) -> DataFr
 
 
 def has_letter(text: str | None) -> bool:
-    """What the operator calls a text with a letter, in Python; for tests."""
+    """What the operator calls a text with a letter, in Python."""
     return bool(text) and re.search(r"[^\W\d_]", text) is not None

@@ -56,3 +56,19 @@ def test_sample_is_bounded(docs):
     assert 0 < len(got) <= 1.5 * 40 + 100 and max(len(t) for t, _ in got) <= 50
     assert got == language.sample(rows, s)
     assert pytest.approx(len({x for _, x in got}), abs=3) == 4
+
+
+OTHER = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "Все люди рождаются свободными и равными в своём достоинстве и правах.", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Minden emberi lény szabadon születik és egyenlő méltósága és joga van."]
+JUNK = ["xqzv jkwpt qqzx vbnmk wrtzp", "asdf qwer zxcv hjkl", "zzzzzzzzzz qqqqqq", "Bcdfg hjklm npqrs tvwxz"]
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_other_languages_and_junk_are_rejected_and_clean_texts_stay(spark, scale):
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    learn = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    model = language.fit(docs, learn)
+    assert not model.predict(OTHER + JUNK)[2].any()
+    held = [r["text"] for r in docs.where(~learn).where(F.col("text").rlike(r"\p{L}")).orderBy("doc_id").limit(800).collect()]
+    short = [" ".join(t.split()[:n]) for t in held for n in (2, 5, 9)]
+    assert model.predict(held)[2].mean() >= 0.99
+    assert model.predict([t for t in short if language.has_letter(t)])[2].mean() >= 0.99
