@@ -58,8 +58,12 @@ def banded_reading_order(t: Tables) -> DataFrame:
 g as (select *, center - lag(center) over (partition by doc_id, page order by center, ord) as gap, median(size) over (partition by doc_id, page) / 2 as half from c)
 select doc_id, cast(page as bigint) as page, ord, cast(sum(case when gap > half or gap is null then 1 else 0 end) over (partition by doc_id, page order by center, ord rows unbounded preceding) as bigint) as row from g""")
 def row_islands_by_gap(t: Tables) -> DataFrame:
-    c = t.gt.where("ord % 4 <> 3").selectExpr(*PAGE, "ord", "y0 + (ord * 5) % 11 as center", "10 + ord % 4 * 10 as size")
-    return layout.rows_by_gap(c, PAGE, "center", "size").select(*PAGE, "ord", "row")
+    return layout.rows_by_gap(in_rows(t), PAGE, "center", "size").select(*PAGE, "ord", "row")
+
+
+def in_rows(t: Tables) -> DataFrame:
+    """All elements, with centres of up to three neighbours close together, so that rows have one element or more."""
+    return t.gt.selectExpr(*PAGE, "ord", "y0 - ord % 3 * 20 + (ord * 5) % 11 as center", "10 + ord % 4 * 10 as size")
 
 
 @query("select doc_id, ord, least(3, coalesce(case when ord % 17 = 4 then 2 end, dense_rank() over (partition by doc_id order by size2 desc))) as level from gt where label = 'heading'")
@@ -90,7 +94,12 @@ def run_length_segments(t: Tables) -> DataFrame:
 , c as (select doc_id, page, y0, max(y1) over (partition by doc_id, page order by y0, y1 rows between unbounded preceding and 1 preceding) as covered from gt where ord % 5 <> 0)
 select doc_id, cast(page as bigint) as page, (y0 + covered) / 2.0 as cut from c where y0 > covered""")
 def interval_gap_cuts(t: Tables) -> DataFrame:
-    return layout.gap_cuts(t.gt.where("ord % 5 <> 0"), PAGE, "y0", "y1")
+    return layout.gap_cuts(overlapping(t), PAGE, "y0", "y1")
+
+
+def overlapping(t: Tables) -> DataFrame:
+    """All elements, up to 50 high, so that some reach over the next one or two."""
+    return t.gt.selectExpr(*PAGE, "ord", "y0", "y1 + (ord * 5) % 11 * 3 as y1")
 
 
 @query("""

@@ -83,3 +83,35 @@ def test_standardise_features_scales_every_component(spark, tmp_path):
     assert len(found) == len(expected) == len(rows)
     for r in found:
         assert len(r["features"]) == 64 and np.allclose(r["features"], expected[r["vec_id"]], atol=2e-6)
+
+
+def test_row_islands_number_all_elements_and_merge_some(spark):
+    from statistics import median
+
+    expected, sizes = {}, Counter()
+    for page, rows in pages(layouts.in_rows(Tables(spark, SMALL)).collect()).items():
+        half, row, before, filled = median(r["size"] for r in rows) / 2, 0, None, Counter()
+        for center, i in sorted((r["center"], r["ord"]) for r in rows):
+            row += before is None or center - before > half
+            before = center
+            filled[row] += 1
+            expected[(*page, i)] = row
+        sizes.update(filled.values())
+    found = {(r["doc_id"], r["page"], r["ord"]): r["row"] for r in registry.queries()["row_islands_by_gap"](spark, SMALL).collect()}
+    assert found == expected and len(found) == Tables(spark, SMALL).lines.count()
+    assert set(sizes) >= {1, 2, 3}
+
+
+def test_gap_cuts_see_all_elements_as_cover(spark):
+    elements = layouts.overlapping(Tables(spark, SMALL)).collect()
+    assert len(elements) == Tables(spark, SMALL).lines.count()
+    expected, covered = Counter(), 0
+    for page, rows in pages(elements).items():
+        rows.sort(key=lambda r: (r["y0"], r["y1"]))
+        end = rows[0]["y1"]
+        for r in rows[1:]:
+            expected[(*page, (r["y0"] + end) / 2)] += r["y0"] > end
+            covered += r["y0"] <= end
+            end = max(end, r["y1"])
+    assert Counter(tuple(r) for r in registry.queries()["interval_gap_cuts"](spark, SMALL).select("doc_id", "page", "cut").collect()) == +expected
+    assert covered and +expected
