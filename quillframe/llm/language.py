@@ -41,7 +41,7 @@ class Settings:
     """buckets, dim: of the embedding table. sample: at most about so many labelled rows are learned from, evenly by language.
 
     window: of each sampled text, a slice of so many characters at most is
-    learned from (prediction reads whole texts). epochs, steps: at least so
+    learned from (prediction reads whole texts). languages: more labels are an error. epochs, steps: at least so
     many passes and so many batches of 32. reject: share of right texts
     that calibration may turn away, half by score and half by known subwords.
     """
@@ -215,9 +215,11 @@ def train(texts: list[str], labels: list[str], s: Settings) -> Model:
 
 def sample(rows: DataFrame, s: Settings) -> list[tuple[str, str]]:
     """(text, label) of a bounded, repeatable sample of labelled rows (label, id, text), evenly by label."""
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(s.languages).collect()
+    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(s.languages + 1).collect()
     if not counts:
         return []
+    if len(counts) > s.languages:
+        raise ValueError(f"more than {s.languages} labels; a model of some would never predict the others")
     each = s.sample / len(counts)
     share = F.lit(0.0)
     for row in counts:

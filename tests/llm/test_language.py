@@ -72,3 +72,10 @@ def test_other_languages_and_junk_are_rejected_and_clean_texts_stay(spark, scale
     short = [" ".join(t.split()[:n]) for t in held for n in (2, 5, 9)]
     assert model.predict(held)[2].mean() >= 0.99
     assert model.predict([t for t in short if language.has_letter(t)])[2].mean() >= 0.99
+
+
+def test_too_many_labels_are_an_error(spark):
+    rows = spark.range(257).selectExpr("cast(id as string) as id", "concat('l', id) as label", "'some text' as text")
+    assert language.sample(rows.where("id < 256"), language.Settings())
+    with pytest.raises(ValueError, match="256 labels"):
+        language.sample(rows, language.Settings())
