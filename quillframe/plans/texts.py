@@ -97,8 +97,14 @@ def tex_escape(t: Tables) -> DataFrame:
 
 @query("select doc_id, len(regexp_extract_all(coalesce(text, ''), '(\\\\[a-zA-Z]+|\\\\.|\\S)')) as n_tokens, coalesce(len(regexp_extract_all(text, '(\\\\[a-zA-Z]+|\\\\.|\\S)')), 0) <= 500 as in_scope from documents")
 def tex_token_scope(t: Tables) -> DataFrame:
-    n = F.size(fn.tex_tokens(F.coalesce("text", F.lit(""))))
-    return t.table("documents").select("doc_id", n.alias("n_tokens"), (n <= 500).alias("in_scope"))
+    """At most 50 tokens, all in the vocabulary: the tokens of the training fold."""
+    tokens = fn.tex_tokens(F.coalesce("text", F.lit("")))
+    d = t.table("documents").select("doc_id", tokens.alias("tokens"), F.size(tokens).alias("n_tokens"))
+    vocabulary = d.where("doc_id % 5 <> 0").select(F.explode(F.array_distinct("tokens")).alias("token")).distinct()
+    short = d.where("n_tokens <= 50")
+    unknown = short.select("tokens", F.explode(F.array_distinct("tokens")).alias("token")).join(vocabulary, "token", "left_anti").select("tokens").distinct()
+    judged = short.join(unknown.withColumn("unknown", F.lit(True)), "tokens", "left").select("doc_id", "n_tokens", F.col("unknown").isNull().alias("in_scope"))
+    return judged.unionByName(d.where("n_tokens > 50").select("doc_id", "n_tokens", F.lit(False).alias("in_scope")))
 
 
 @query("select 'lang=' || coalesce(lang, 'none') as tag, count(*) as n from documents group by 1 union all select 'long=' || case when n_chars >= 1000 then 'True' else 'False' end, count(*) from documents where n_chars is not null group by 1")

@@ -115,3 +115,15 @@ def test_gap_cuts_see_all_elements_as_cover(spark):
             end = max(end, r["y1"])
     assert Counter(tuple(r) for r in registry.queries()["interval_gap_cuts"](spark, SMALL).select("doc_id", "page", "cut").collect()) == +expected
     assert covered and +expected
+
+
+def test_tex_token_scope_asks_for_length_and_vocabulary(spark, tmp_path):
+    import re
+
+    rows = [(1, r"\alpha + x"), (2, "x " * 50), (3, "x " * 51), (5, r"\alpha x"), (10, r"\beta x"), (15, None), (15, "y"), (20, "x" * 200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = [(i, re.findall(r"\\[a-zA-Z]+|\\.|\S", t or "")) for i, t in rows]
+    known = {x for i, ts in tokens if i % 5 for x in ts}
+    expected = Counter((i, len(ts), len(ts) <= 50 and known.issuperset(ts)) for i, ts in tokens)
+    found = Counter(tuple(r) for r in registry.queries()["tex_token_scope"](spark, str(tmp_path)).select("doc_id", "n_tokens", "in_scope").collect())
+    assert found == expected and {k[2] for k in found} == {True, False}
