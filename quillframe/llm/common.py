@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,14 @@ LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; where that is unset (tests), a new local one."""
+    """The folder of spark.checkpoint.dir, which all executors see; where that is unset and the master is local (tests), a new local one."""
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if where is None:
         where = context.getCheckpointDir()
     if where is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='quillframe-')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(where)
@@ -57,6 +60,48 @@ def text_key(text: Column) -> Column:
     return F.md5(F.encode(text, "UTF-8"))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, also where f uses it inside a function of array elements."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def before(values: Column, zero: int, op: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """For each place of an integer array, op over zero and all values before it. Blocks are folded first, so that an array of n places takes about n * block + (n / block)^2 steps, not n^2."""
+    start = F.lit(zero).cast("int")
+
+    def cut_up(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda b: F.slice(v, b * block + 1, block))
+        return F.when(F.size(v) > 0, blocks).otherwise(F.array().cast("array<array<int>>"))
+
+    def folded(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda x: F.aggregate(x, start, op))
+        starts = F.aggregate(whole, F.array(start), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+        inner = lambda x, s: F.transform(x, lambda v, i: F.aggregate(F.slice(x, F.lit(1), i), s, op))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), inner))
+
+    return let(let(values, cut_up), folded)
+
+
+#: A key is hot if it has over so many rows, and over one row in so many.
+HOT_ROWS, HOT_SHARE = 10_000, 100_000
+
+
+def split_hot(facts: DataFrame, key: str, total: int, number: str = "n") -> tuple[DataFrame, DataFrame]:
+    """The facts of hot keys, of which there are at most HOT_SHARE, to be broadcast; those of the others. facts has one row and the number of rows, of total, of each key."""
+    hot = F.col(number) > max(HOT_ROWS, total // HOT_SHARE)
+    return F.broadcast(facts.where(hot).drop(number)), facts.where(~hot).drop(number)
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, total: int, number: str = "n") -> DataFrame:
+    """rows, of which there are total, with the columns of facts, which has one row and the number of rows of each key of rows.
+
+    Hot keys are broadcast, so that their rows stay where they are; the others
+    are joined by a shuffle or as Spark sees fit.
+    """
+    few, others = split_hot(facts, key, total, number)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(others, key))
+
+
 def _edges_state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

@@ -6,8 +6,9 @@ of Zstandard's contributions. An index maps record identifiers to bundle, frame
 and offset within the frame, so one record is read by decompressing one frame.
 
 Records with equal payloads (of at least min_revisit bytes): those of the
-smallest id are responses, the others revisits that name it and carry HTTP
-headers only. If rows repeat that id, all of them are responses. A null id is
+smallest id are responses, the others revisits that name its id, target and
+date and carry HTTP headers only. Digests meet in the shuffle, payloads don't
+unless the digests that repeat are too many to be broadcast. If rows repeat that id, all of them are responses. A null id is
 never the smallest unless all are null; then all are responses. A null html is an
 empty payload; a null url an empty target. An empty table has no bundles. Other
 columns are ignored.
@@ -33,6 +34,8 @@ from quillframe.llm.common import cut, quoted, shared_dir
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME, BUNDLE = 1 << 20, 64 << 20
+#: Repeated digests are broadcast up to so many bytes of digests and targets; more are joined by a shuffle.
+MOST_BROADCAST = 64 << 20
 INDEX = "page_id long, record_id string, bundle string, frame int, frame_start long, frame_bytes long, offset long, length long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, digest_ok boolean"
 EOL = "\r\n"
@@ -43,18 +46,23 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, url: str) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{page_id} {url}'.encode()).digest()[:16])}>"
+def record_id(bundle: str, number: int) -> str:
+    """Of the record with this number in a bundle: no two records have one id, however alike their rows are."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{bundle}#{number}')}>"
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
+def target(url: str) -> str:
+    return quote(url, safe="%/:?#[]@!$&()*+,;=~'")
+
+
+def record(ident: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None, first_url: str | None, revisit: bool, date: str) -> bytes:
     """The record's bytes; a payload's size and digest are in a revisit's headers too."""
     body = f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: {len(payload)}{EOL}{EOL}".encode() + (b"" if revisit else payload)
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, url)}", f"WARC-Date: {date}", f"WARC-Target-URI: {quote(url, safe='%/:?#[]@!$&()*+,;=~' + chr(39))}", f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {ident}", f"WARC-Date: {date}", f"WARC-Target-URI: {target(url)}", f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {target(first_url or '')}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-Id: {refers_to}"]
     return (EOL.join(head) + EOL + EOL).encode() + body + b"\r\n\r\n"
 
 
@@ -109,6 +117,9 @@ class Bundle:
         self.frames: list[tuple[int, int]] = []
         self.start, self.held, self.size, self.rows, self.done = 0, [], 0, [], []
 
+    def next_id(self) -> str:
+        return record_id(self.name, len(self.done) + len(self.rows))
+
     def add(self, page_id: int | None, ident: str, data: bytes) -> None:
         self.rows.append((page_id, ident, self.size, len(data)))
         self.held.append(data)
@@ -138,12 +149,16 @@ def index_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def decided(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """page_id, url, payload, revisit and refers_to of every row of pages."""
+    """page_id, url, payload, revisit, refers_to and first_url of every row of pages."""
     p = pages.select(quoted("page_id").cast("long").alias("page_id"), F.coalesce(quoted("url").cast("string"), F.lit("")).alias("url"), F.coalesce(quoted("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    p = p.withColumn("same", F.sha2("payload", 256))
-    firsts = p.where(F.octet_length("payload") >= min_revisit).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("same", "first")
+    p = p.withColumn("same", F.unhex(F.sha2("payload", 256)))
+    long_enough = p.where(F.octet_length("payload") >= min_revisit)
+    firsts = long_enough.groupBy("same").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("x"), F.count("*").alias("copies"))
+    firsts = cut(firsts.where("copies > 1 and x.page_id is not null").select("same", F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url")))
+    size = firsts.agg(F.coalesce(F.sum(F.octet_length("first_url") + 64), F.lit(0))).first()[0]
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return p.join(firsts, "same", "left").select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
+    joined = p.join(F.broadcast(firsts) if size <= MOST_BROADCAST else firsts, "same", "left")
+    return joined.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("first_url"))
 
 
 def write_bundles(pages: DataFrame, folder: str, min_revisit: int = 0, date: str = "2025-01-01T00:00:00Z") -> DataFrame:
@@ -152,10 +167,11 @@ def write_bundles(pages: DataFrame, folder: str, min_revisit: int = 0, date: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
         for batch in batches:
-            for page_id, url, payload, revisit, refers_to in zip(*(batch.column(j) for j in range(5)), strict=True):
-                page_id, url = page_id.as_py(), url.as_py()
+            for row in zip(*(batch.column(j) for j in range(6)), strict=True):
+                page_id, url, payload, revisit, refers_to, first_url = (x.as_py() for x in row)
                 bundle = bundle or Bundle(folder)
-                bundle.add(page_id, record_id(page_id, url), record(page_id, url, payload.as_py(), refers_to.as_py(), revisit.as_py(), date))
+                ident = bundle.next_id()
+                bundle.add(page_id, ident, record(ident, page_id, url, payload, refers_to, first_url, revisit, date))
                 if bundle.start >= BUNDLE:
                     yield index_batch(bundle.close())
                     bundle = None
@@ -197,6 +213,8 @@ def read_bundles(spark: SparkSession, index: DataFrame, folder: str) -> DataFram
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     bundles = index.select("bundle").distinct()
+    # As many tasks as bundles: the names are so few bytes that Spark would give them all to one.
+    bundles = bundles.repartition(max(1, bundles.count()))
     return bundles.mapInArrow(run, RECORD)
 
 
