@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import fresh, quoted
+from quillframe.llm.common import before, fresh, let, quoted
 
 #: Possessive forms of the patterns, which match the same: nothing after a repeated group can use what it would give back. An address's first part is tried from the beginning of its run of characters only, as a match from within it would have been one from there.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -37,23 +37,19 @@ SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey",
 PLAIN_WORDS = ("page", "pages", "version", "isbn", "issn", "doi", "year", "figure", "table", "chapter", "line", "commit", "revision", "sha", "md5", "checksum", "number", "no", "nr", "order")
 SPAN = "struct<start:int,ord:int,end:int,kind:string>"
 FOUND = "array<struct<start:int,end:int,text:string>>"
+AROUND = "array<struct<start:int,end:int,token:string,before:string,after:string>>"
+#: Beyond every place.
+FAR = 2**31 - 1
 VOTES = ("v_shape", "v_word", "v_sign", "v_quote", "v_variety")
 FEATURES = ("f_kind", "f_length", "f_sign", "f_word")
 
 
-def located(text: Column, pattern: str) -> Column:
-    """(start, end, text) of the leftmost matches that don't overlap: the lengths of what is between them and of themselves add up to their places."""
-    between = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(matches, F.slice(between, F.lit(1), F.size(matches)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("b")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["b"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("out"))
-
-    return F.aggregate(both, zero, step, lambda acc: acc["out"])
+def located(matches: Column, between: Column) -> Column:
+    """(start, end, text) of the matches: the lengths of what is before, between and after them and of themselves add up to their places."""
+    gaps = F.transform(F.slice(between, F.lit(1), F.size(matches)), F.length)
+    starts = before(F.zip_with(matches, gaps, lambda m, g: F.length(m) + g), 0, lambda a, x: a + x)
+    placed = F.arrays_zip(matches.alias("m"), gaps.alias("g"), starts.alias("s"))
+    return F.transform(placed, lambda x: F.struct((x["s"] + x["g"]).alias("start"), (x["s"] + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("text")))
 
 
 def spans_of(found: Column, kind: str) -> Column:
@@ -65,34 +61,62 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def with_located(df: DataFrame, t: Column, patterns: dict[str, tuple[str, str]]) -> DataFrame:
+    """df with an array of the located matches of each pattern; a text in which its quick pattern has no match skips it."""
+    found = {n: [fresh(f"{n}_{x}", df.columns) for x in ("matches", "between")] for n in patterns}
+    none = F.array().cast("array<string>")
+    d = df.select("*", *(F.when(t.rlike(q), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none).alias(found[n][0]) for n, (q, p) in patterns.items()))
+    d = d.select("*", *(F.when(F.size(quoted(found[n][0])) > 0, F.split(t, p, -1)).otherwise(none).alias(found[n][1]) for n, (q, p) in patterns.items()))
+    whole = {n: F.when(F.size(quoted(a)) > 0, located(quoted(a), quoted(b))).otherwise(F.array().cast(FOUND)) for n, (a, b) in found.items()}
+    return d.select("*", *(c.alias(n) for n, c in whole.items()))
+
+
 def with_base(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with an array of its base spans, by start and then kind. Texts without "@", "+" or a digit skip the patterns."""
     t = F.coalesce(quoted(text), F.lit(""))
-    none = F.array().cast(FOUND)
     names = [fresh(f"pii_{x}", df.columns) for x in KINDS[:4]]
     quick = (r"@", r"[0-9]\.[0-9]", r"[0-9]", r"\+[0-9]")
-    d = df.select("*", *(F.when(t.rlike(q), located(t, p)).otherwise(none).alias(n) for n, q, p in zip(names, quick, (EMAIL, IP, CARD, PHONE), strict=True)))
+    d = with_located(df, t, dict(zip(names, zip(quick, (EMAIL, IP, CARD, PHONE), strict=True), strict=True)))
     n_digits = lambda x, a, b: F.length(digits(x["text"])).between(a, b)
     email, ip, card, phone = (quoted(n) for n in names)
     ip = F.filter(ip, lambda x: x["text"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"))
     card = F.filter(card, lambda x: F.when(n_digits(x, 12, 19), F.call_function("luhn_check", digits(x["text"]))).otherwise(F.lit(False)))
     phone = F.filter(phone, lambda x: n_digits(x, 9, 15))
     every = F.concat(*(spans_of(x, k) for x, k in zip((email, ip, card, phone), KINDS, strict=False)))
-    return d.withColumn(name, F.array_sort(every)).drop(*names)
+    return d.withColumn(name, F.array_sort(every)).select(*(quoted(c) for c in df.columns), name)
 
 
 def with_candidates(df: DataFrame, text: str, base: str, name: str) -> DataFrame:
-    """df with an array of candidate tokens: place, text and what is around; none that a base span overlaps."""
-    t = F.coalesce(quoted(text), F.lit(""))
-    raw = fresh("pii_tokens", df.columns)
-    d = df.withColumn(raw, F.when(t.rlike("[0-9]"), located(t, TOKEN)).otherwise(F.array().cast(FOUND)))
-    free = F.filter(quoted(raw), lambda x: ~F.exists(quoted(base), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-
-    def around(x: Column) -> Column:
-        start = F.greatest(F.lit(0), x["start"] - 24)
-        return F.struct(x["start"], x["end"], x["text"].alias("token"), F.substring(t, start + 1, x["start"] - start).alias("before"), F.substring(t, x["end"] + 1, F.lit(2)).alias("after"))
+    """df with an array of candidate tokens: place, text and what is around; none that a base span overlaps.
 
-    return d.withColumn(name, F.transform(free, around)).drop(raw)
+    The 24 characters before a token are the end of what is before it, back to
+    the second token before, which with it has more; the two after it likewise.
+    """
+    t = F.coalesce(quoted(text), F.lit(""))
+    matches, between, tokens, both = (fresh(f"pii_{x}", [*df.columns, name]) for x in ("matches", "between", "tokens", "both"))
+    none = F.array().cast("array<string>")
+    d = df.select("*", F.when(t.rlike("[0-9]"), F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))).otherwise(none).alias(matches))
+    d = d.select("*", F.when(F.size(matches) > 0, F.split(t, TOKEN, -1)).otherwise(none).alias(between))
+    m, b = quoted(matches), quoted(between)
+    part = lambda x, i: F.coalesce(F.get(x, i), F.lit(""))
+
+    def around(x: Column, i: Column) -> Column:
+        head = F.concat(part(m, i - 2), part(b, i - 1), part(m, i - 1), part(b, i))
+        tail = F.concat(F.substring(part(b, i + 1), 1, 2), F.substring(part(m, i + 1), 1, 1))
+        return F.struct(x["start"], x["end"], x["text"].alias("token"), F.right(head, F.lit(24)).alias("before"), F.substring(tail, 1, 2).alias("after"))
+
+    placed = F.transform(located(m, b), around)
+    d = d.select("*", F.when(F.size(m) > 0, placed).otherwise(F.array().cast(AROUND)).alias(tokens))
+    # Both are sorted, and a token overlaps the spans of a few kinds at most: those that begin before it ends reach at most as far as any of them does.
+    spans = F.transform(quoted(base), lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("token"), x["end"].alias("end")))
+    whole = F.transform(quoted(tokens), lambda x, i: F.struct(x["start"].alias("start"), (i + 1).alias("token"), x["end"].alias("end")))
+    merged = quoted(both)
+    reach = before(F.transform(merged, lambda x: F.when(x["token"] == 0, x["end"]).otherwise(0)), 0, lambda a, x: F.greatest(a, x))
+    following = F.reverse(before(F.reverse(F.transform(merged, lambda x: F.when(x["token"] == 0, x["start"]).otherwise(FAR))), FAR, lambda a, x: F.least(a, x)))
+    free = F.filter(F.arrays_zip(merged.alias("x"), reach.alias("r"), following.alias("f")), lambda z: (z["x"]["token"] > 0) & (z["r"] <= z["x"]["start"]) & (z["f"] >= z["x"]["end"]))
+    d = d.select("*", F.when((F.size(quoted(base)) > 0) & (F.size(quoted(tokens)) > 0), F.sort_array(F.concat(spans, whole))).otherwise(F.array().cast("array<struct<start:int,token:int,end:int>>")).alias(both))
+    kept = F.when(F.size(quoted(base)) == 0, quoted(tokens)).otherwise(F.transform(free, lambda z: F.element_at(quoted(tokens), z["x"]["token"])))
+    return d.select(*(quoted(c) for c in df.columns), F.when(F.size(quoted(tokens)) > 0, kept).otherwise(F.array().cast(AROUND)).alias(name))
 
 
 def kind_of(token: Column) -> Column:
@@ -189,8 +213,10 @@ def logistic(rows: list[tuple[tuple[str, ...], float, float]], rounds: int = 400
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """The model of all candidates of docs."""
-    d = with_base(docs.select(quoted(text).alias("text")), "text", "base")
-    d = with_candidates(d, "text", "base", "candidates").select(F.explode("candidates").alias("c"))
+    d = with_base(docs.select(quoted(text).alias("text")).where(F.col("text").rlike("[0-9]") & F.col("text").rlike(TOKEN)), "text", "base")
+    d = with_candidates(d, "text", "base", "candidates").select(F.explode_outer("candidates").alias("c"))
+    # An inner explode would have Spark compute all of the above once more as a filter.
+    d = d.where("c is not null")
     rows = d.select(*labelled(F.col("c"))).groupBy(*VOTES, *FEATURES).count().collect()
     if not rows:
         return Model()
@@ -235,16 +261,24 @@ def personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return with_spans(d, model, "text", "base_spans", "spans").select("doc_id", "base_spans", "spans")
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """text with each span, or union of overlapping spans, replaced by the first one's kind in brackets."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redacted(text: Column, spans: Column, block: int = 4096) -> Column:
+    """text with each span, or union of overlapping spans, replaced by the first one's kind in brackets.
+
+    What stays is cut out of blocks of the text, so that a cut takes a block's
+    time, not the text's.
+    """
+    reach = before(F.transform(spans, lambda x: x["end"]), 0, lambda a, x: F.greatest(a, x))
+    both = F.filter(F.arrays_zip(spans.alias("x"), reach.alias("r")), lambda z: z["x"]["start"] >= z["r"])
 
-    def step(acc: Column, x: Column) -> Column:
-        mark = F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        fresh_span = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), x["start"] - acc["at"])), mark)
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], fresh_span).otherwise(acc["out"]).alias("out"))
+    def piece(blocks: Column, a: Column, n: Column) -> Column:
+        first = F.floor(a / block).cast("int")
+        some = F.slice(blocks, first + 1, F.floor((a + n) / block).cast("int") - first + 1)
+        return F.substring(F.array_join(some, ""), a - first * block + 1, n)
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    cuts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    kept = lambda blocks: F.transform(both, lambda z: F.concat(piece(blocks, z["r"], z["x"]["start"] - z["r"]), F.lit("["), F.upper(z["x"]["kind"]), F.lit("]")))
+    last = F.array_max(F.transform(spans, lambda x: x["end"]))
+    return F.when(F.size(spans) == 0, text).otherwise(let(cuts, lambda blocks: F.concat(F.array_join(kept(blocks), ""), piece(blocks, last, F.length(text) - last))))
 
 
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
