@@ -52,6 +52,68 @@ def test_base_spans(spark):
     assert got == {i: slow_base(t) for i, t in enumerate(TEXTS)}
 
 
+def slow_redaction(text, spans):
+    out, at = [], 0
+    for a, b, kind in spans:
+        if a >= at:
+            out += [text[at:a], f"[{kind.upper()}]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_long_texts_in_linear_time(spark):
+    """A megabyte of addresses, numbers and tokens: places, what is around tokens, and redaction as by loops."""
+    import time
+
+    parts = ["user{0}@example.org, ", "10.0.{0}.7 ", "token = \"ab{0:038d}\" é😀 ", "word ", "4111 1111 1111 1111; ", "k9{0:012d}.q{0:013d} "]
+    text = "".join(p.format(i % 200) for i in range(8000) for p in parts)
+    df = spark.createDataFrame([(1, text), (2, text[:3000])], "doc_id long, text string")
+    began = time.time()
+    d = pii.with_base(df, "text", "base")
+    rows = pii.with_candidates(d, "text", "base", "c").select("doc_id", "text", pii.listed(F.col("base")).alias("s"), "base", "c").collect()
+    for r in rows:
+        assert r["s"] == slow_base(r["text"])
+        base = [(x["start"], x["end"]) for x in r["base"]]
+        taken = bytearray(len(r["text"]))
+        for a, b in base:
+            taken[a:b] = b"1" * (b - a)
+        want = [(m.start(), m.end(), m[0], r["text"][max(0, m.start() - 24) : m.start()], r["text"][m.end() : m.end() + 2]) for m in re.finditer(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])[A-Za-z0-9]{12,}", r["text"]) if not any(taken[m.start() : m.end()])]
+        assert [tuple(x) for x in r["c"]] == want
+    out = pii.redact(df, pii.Model()).collect()
+    for r, o in zip(sorted(rows), sorted(out), strict=True):
+        assert o["text"] == slow_redaction(r["text"], [(x["start"], x["end"], x["kind"]) for x in r["base"]])
+    assert time.time() - began < 120
+
+
+def test_reliabilities_and_weights_match_brute_force():
+    """Expectation-maximisation and the logistic regression against the same steps over single votes, not counts."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    votes = []
+    for _ in range(300):
+        truth = rng.random() < 0.4
+        votes.append(tuple(rng.choices([1, 0, -1], [0.7, 0.2, 0.1] if truth else [0.1, 0.3, 0.6])[0] for _ in range(3)))
+    counts = {}
+    for v in votes:
+        counts[v] = counts.get(v, 0) + 1
+    prior, table, posterior = pii.expectation_maximisation(counts, rounds=12)
+    p = [min(0.95, max(0.05, 0.5 + sum(v) / 6)) for v in votes]
+    for _ in range(12):
+        own = (sum(p) + 1) / (len(p) + 2)
+        rates = [{x: ((1 + sum(q for v, q in zip(votes, p, strict=True) if v[j] == x)) / (sum(p) + 3), (1 + sum(1 - q for v, q in zip(votes, p, strict=True) if v[j] == x)) / (len(p) - sum(p) + 3)) for x in (-1, 0, 1)} for j in range(3)]
+        p = [own * math.prod(r[x][0] for r, x in zip(rates, v, strict=True)) / (own * math.prod(r[x][0] for r, x in zip(rates, v, strict=True)) + (1 - own) * math.prod(r[x][1] for r, x in zip(rates, v, strict=True))) for v in votes]
+    assert prior == pytest.approx(own)
+    assert all(table[j][x] == pytest.approx(rates[j][x]) for j in range(3) for x in (-1, 0, 1))
+    assert all(posterior[v] == pytest.approx(q) for v, q in zip(votes, p, strict=True))
+    rows = [(("a", "x"), 0.9, 30.0), (("a", "y"), 0.7, 10.0), (("b", "x"), 0.2, 20.0), (("b", "y"), 0.1, 40.0)]
+    bias, weights = pii.logistic(rows, rounds=2000, decay=0.0)
+    # At the optimum the errors sum to nothing for every value.
+    for j, value in ((0, "a"), (0, "b"), (1, "x"), (1, "y")):
+        assert sum(n * (1 / (1 + math.exp(-bias - weights[0][v[0]] - weights[1][v[1]])) - share) for v, share, n in rows if v[j] == value) == pytest.approx(0, abs=0.05)
+
+
 def test_query(spark, small, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in registry.op9_pii(spark, small).collect():
@@ -119,13 +181,15 @@ def test_contamination_query(spark, small, docs):
     assert sorted(repr(tuple(r)) for r in registry.op10_decontamination(spark, small).collect()) == slow_hits(rows, bench)
 
 
-@pytest.mark.parametrize("most", [0, 500_000])
-def test_odd_contamination(spark, odd, none, monkeypatch, most):
+@pytest.mark.parametrize("most, bits", [(0, 23), (64 << 20, 23), (64 << 20, 6)])
+def test_odd_contamination(spark, odd, none, monkeypatch, most, bits):
     monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 6)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
     monkeypatch.setattr(decontaminate, "CHUNK", 7)
     bench = [(1, "A b, C d e f G h i j k"), (2, "one"), (11, "ONE"), (None, "another text"), (3, None), (4, "..."), (5, "word word word"), (1, "a b c d e f g h i j k")]
     b = spark.createDataFrame([(*x, "g") for x in bench], "item_id long, text string, gram string")
-    rows = [(r["doc_id"], r["text"]) for r in odd.where("doc_id is null or doc_id <> 7").collect()] + [(70, "x word word word word y one-two")]
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(70, "x word word word word y one-two")]
     df = spark.createDataFrame([(*r, "w") for r in rows], "doc_id long, text string, words string")
     assert sorted(repr(tuple(r)) for r in decontaminate.contamination(df, b).collect()) == slow_hits(rows, bench)
     kept = decontaminate.drop_contaminated(df, b)
