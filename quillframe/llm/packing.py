@@ -3,10 +3,12 @@
 A document is its token ids and an end id; only one longer than a sequence is
 cut, into whole sequences and a rest. Each rest is placed where the sum over
 all residual gaps of the squared count of open bins with that gap becomes
-smallest. Rests are dealt by a hash to groups of bounded size, which are packed
+smallest, the longest rests first. What lies in bins that are not nearly full
+is then placed anew by the same rule, as long as that takes fewer bins. Rests are dealt by a hash to groups of bounded size, which are packed
 side by side; what each group leaves in bins that are not nearly full is dealt
-to fewer groups and packed again, until one group is left. A group has at most
-some tens of thousands of lengths whatever the corpus, and no text moves.
+to fewer groups and packed again, until one group is left. Rests are dealt by
+their number, so a group has at most some tens of thousands of lengths whatever
+the corpus and however alike its rows are, and no text moves.
 
 A null text is packed as an empty one: the end id alone. Rows with equal ids
 are told apart by their text and, if that is equal too, packed each. An empty
@@ -17,7 +19,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
 
@@ -152,78 +153,61 @@ def sum_of_squares(lengths: list[int], size: int) -> tuple[list[int], list[int],
     return bins, offsets, gaps
 
 
-def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int], list[int]]:
-    """As sum_of_squares, but each length goes where the smallest gap is left."""
-    gaps: list[int] = []
-    open_bins: list[tuple[int, int]] = []
-    bins, offsets = [], []
-    for n in lengths:
-        at = bisect_left(open_bins, (n, -1))
-        if at == len(open_bins):
-            own, gap = len(gaps), size
-            gaps.append(size)
+def pack_group(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each length's bin and offset, and the bins' gaps: sum_of_squares with the longest first, and again of what is in bins with gaps over 1/256 that some length still fits while that takes fewer of them."""
+    slack = max(size // 256, int(lengths.min(initial=size)) - 1)
+    left = np.argsort(-lengths, kind="stable")
+    bins, offsets, gaps = (np.array(x, np.int64) for x in sum_of_squares(lengths[left].tolist(), size))
+    out, done = np.empty((2, len(lengths)), np.int64), []
+    while True:
+        full = gaps <= slack
+        if full.any() and not full.all():
+            loose = ~full[bins]
+            again = [np.array(x, np.int64) for x in sum_of_squares(lengths[left[loose]].tolist(), size)]
+            fewer = len(again[2]) < int((~full).sum())
         else:
-            gap, own = open_bins.pop(at)
-        bins.append(own)
-        offsets.append(size - gap)
-        gaps[own] = gap - n
-        insort(open_bins, (gap - n, own))
-    return bins, offsets, gaps
-
-
-def pack_group(lengths: np.ndarray, size: int, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each length's bin and offset, and the bins' gaps: sum_of_squares with the longest first. What is in bins with gaps over slack is packed once more by best fit, if that takes fewer bins."""
-    order = np.argsort(-lengths, kind="stable")
-    bins, offsets, gaps = (np.array(x, np.int64) for x in sum_of_squares(lengths[order].tolist(), size))
-    loose = np.flatnonzero(gaps[bins] > slack) if len(bins) else bins
-    if len(loose):
-        again, places, left = (np.array(x, np.int64) for x in best_fit(lengths[order[loose]].tolist(), size))
-        if len(left) < int((gaps > slack).sum()):
-            kept = np.flatnonzero(gaps <= slack)
-            number = np.zeros(len(gaps), np.int64)
-            number[kept] = np.arange(len(kept))
-            bins = number[bins]
-            bins[loose], offsets[loose] = again + len(kept), places
-            gaps = np.concatenate([gaps[kept], left])
-    out = np.empty((2, len(lengths)), np.int64)
-    out[:, order] = bins, offsets
-    return out[0], out[1], gaps
+            loose, fewer = np.zeros(len(left), bool), False
+        settled = ~loose if fewer else np.ones(len(left), bool)
+        kept = full if fewer else np.ones(len(gaps), bool)
+        out[:, left[settled]] = (np.cumsum(kept) - 1 + sum(map(len, done)))[bins[settled]], offsets[settled]
+        done.append(gaps[kept])
+        if not fewer:
+            return out[0], out[1], np.concatenate(done)
+        left = left[loose]
+        bins, offsets, gaps = again
 
 
 def _round(rests: DataFrame, groups: int, level: int, size: int, slack: int) -> DataFrame:
-    """rests with sequence_id and offset; those of bins with gaps over slack with a null sequence_id."""
-    names = [x for x in rests.columns if x not in ("sequence_id", "offset", "pack_group")]
-    dealt = rests.select(*names, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(level)), F.lit(groups)).cast("int").alias("pack_group"))
+    """rests (row, length) with sequence_id and offset; those of bins with gaps over slack with a null sequence_id."""
+    dealt = rests.select("row", "length", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)).cast("int").alias("pack_group"))
 
     def solve(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("length", "descending"), ("row", "ascending")])
         group = table.column("pack_group")[0].as_py()
-        bins, offsets, gaps = pack_group(table.column("length").to_numpy(), size, size // 64)
+        bins, offsets, gaps = pack_group(table.column("length").to_numpy(), size)
         loose = gaps[bins] > slack
         ids = bins + (np.int64(level) << 56) + (np.int64(group) << 32)
         return table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(ids, mask=loose)).append_column("offset", pa.array(offsets))
 
-    return dealt.groupBy("pack_group").applyInArrow(solve, dealt.drop("pack_group").schema.add("sequence_id", "long").add("offset", "long"))
+    return dealt.groupBy("pack_group").applyInArrow(solve, "row long, length long, sequence_id long, offset long")
 
 
 def assign(found: DataFrame, size: int = 2048, per_group: int = PER_GROUP) -> DataFrame:
-    """Pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
-    found = cut(found)
-    columns = found.columns
-    full = found.where(F.col("length") == size).select(*columns, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rests = found.where(F.col("length") < size)
-    groups, level, done = max(1, -(-rests.count() // per_group)), 1, [full]
+    """Pieces (with their length) with sequence_id and offset. Pieces are numbered once they are written; numbers and lengths alone are shuffled until all have a place."""
+    found = cut(found.withColumn("row", F.monotonically_increasing_id()))
+    columns = [c for c in found.columns if c != "row"]
+    full = found.where(F.col("length") == size).select(*columns, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rests = found.where(F.col("length") < size).select("row", "length")
+    groups, level, placed = max(1, -(-rests.count() // per_group)), 1, None
     while True:
         packed = cut(_round(rests, groups, level, size, size // 64 if groups > 1 else size))
-        done.append(packed.where("sequence_id is not null"))
+        done = packed.where("sequence_id is not null").select("row", "sequence_id", "offset")
+        placed = done if placed is None else placed.unionByName(done)
         if groups == 1:
             break
-        rests = packed.where("sequence_id is null").select(*columns)
+        rests = packed.where("sequence_id is null").select("row", "length")
         groups, level = min(groups - 1, max(1, -(-rests.count() // per_group))), level + 1
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+    return full.unionByName(found.where(F.col("length") < size).join(placed, "row").select(*columns, "sequence_id", "offset"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0) -> DataFrame:
@@ -232,10 +216,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: i
 
 
 def packed_ids(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0) -> DataFrame:
-    """pack_documents with the pieces' ids: the packed corpus itself. Texts are encoded twice, so that ids don't wait in the shuffle of lengths."""
-    plan = pack_documents(docs, vocabulary, size, end_id)
-    with_ids = pieces(docs, vocabulary, size, end_id, ids=True)
-    keys = ["doc_id", "start", "length", "ids_crc32"]
-    same = [with_ids[k].eqNullSafe(plan[k]) for k in keys]
-    joined = plan.join(with_ids.dropDuplicates(keys), same, "left")
-    return joined.select(*(plan[c] for c in plan.columns), with_ids["ids"])
+    """pack_documents with the pieces' ids: the packed corpus itself. Texts are encoded once; ids are written with their pieces and move only when all have a place."""
+    return assign(pieces(docs, vocabulary, size, end_id, ids=True), size)

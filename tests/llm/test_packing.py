@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillframe.llm import packing
@@ -53,6 +54,28 @@ def test_odd_rows(odd, none, whole):
     assert packing.pack_documents(none, TOKENIZER).count() == 0
 
 
+def test_alike_rows_are_dealt_to_all_groups(spark, whole):
+    """Rows without an id and with one text, eight of which fill a sequence: they are many groups' work, and the rule leaves few bins open."""
+    df = spark.createDataFrame([(None, "one two three " * 20)] * 400, "doc_id long, text string")
+    rows = packing.assign(packing.pieces(df, TOKENIZER, 512), 512, per_group=20).collect()
+    assert check(df, rows, whole, 512) <= 1.1 * 50
+    placed = packing._round(spark.range(1000).selectExpr("id as row", "61L as length"), 50, 1, 512, 512)
+    assert placed.selectExpr("sequence_id >> 32 as g").groupBy("g").count().agg(F.max("count")).first()[0] < 50
+
+
+def test_groups_are_packed_by_the_rule_again_and_again():
+    rng = np.random.default_rng(5)
+    for n, size in ((0, 64), (1, 64), (300, 64), (2000, 2048)):
+        lengths = rng.integers(1, size, n)
+        bins, offsets, gaps = packing.pack_group(lengths, size)
+        used = np.zeros(len(gaps), np.int64)
+        for b, o, length in sorted(zip(bins.tolist(), offsets.tolist(), lengths.tolist(), strict=True)):
+            assert used[b] == o
+            used[b] += length
+        assert (size - used == gaps).all() and (used > 0).all()
+        assert len(gaps) <= len(packing.sum_of_squares(np.sort(lengths)[::-1].tolist(), size)[2])
+
+
 def test_ids_of_odd_texts(whole):
     texts = ["İstanbul ΣΑΣ", "a\x1cb\x85c", "it's 'tis don't we'll I'd", "x<|endoftext|>y", "½ ² ª º µ", "é e\u0301", "A_B-c...!! 123 १२", "ŉ ǅ ſ", "“q” – …€", "\u200b \xa0 \xad", "a" * 5000, "?!" * 400]
     t = packing.WordTokenizer(TOKENIZER)
@@ -95,7 +118,11 @@ def test_sum_of_squares_rule():
 
 
 def test_packed_ids_round_trip(docs, whole):
+    twins = docs.limit(20).unionByName(docs.limit(20).withColumn("text", F.upper("text")))
     rows = packing.packed_ids(docs.limit(20), TOKENIZER).collect()
+    both = packing.packed_ids(twins, TOKENIZER).collect()
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in both)
+    check(twins, both, whole)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in rows:
         ids = [*whole.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0]
