@@ -33,6 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_few(df: DataFrame) -> DataFrame:
+    """cut() of what is small beside the corpus, in no more partitions than there are cores, whatever number the shuffles before had."""
+    return cut(df.coalesce(df.sparkSession.sparkContext.defaultParallelism))
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """name, or name with underscores until no column of taken has it (column names ignore case)."""
     used = {x.lower() for x in taken}
@@ -115,7 +120,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     checkpointed; the number of rounds grows with the logarithm of the nodes.
     """
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = cut(edges)
+    edges = cut_few(edges)
     state = _edges_state(edges)
     for _ in range(max_rounds):
         if not state[0]:
@@ -123,10 +128,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = cut(large)
+        large = cut_few(large)
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = cut(moved.union(small.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut_few(moved.union(small.select("u", F.col("m").alias("v"))).distinct())
         was, state = state, _edges_state(edges)
         if was == state:
             break

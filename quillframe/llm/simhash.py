@@ -7,7 +7,9 @@ has 2,081 variants; to shuffle them all would move some 30 KB a document.
 Here the shuffle carries a ball's *prefix* variants only (137 for 16 bits, each
 with the flips that are left), and the rest of the ball is unfolded by the
 task that owns the prefix, in bounded slices. The variants that meet are the
-same.
+same. How many entries each prefix has, 65,536 numbers whatever the corpus, is
+counted first; where one has too many for a task, further bits are settled
+before the shuffle.
 
 Null, empty and blank texts have fingerprint zero and are linked like any
 other. Rows with equal ids or equal texts all stay. A null id never becomes a
@@ -23,16 +25,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import connected_components, cut, fresh, quoted, row_key
+from quillframe.llm.common import attach, connected_components, cut, cut_few, fresh, quoted, row_key
 
 PREFIX = 16
 #: Variants unfolded at once by a task: 64 MB of them.
 SLICE = 1 << 23
-#: Packed prefix variants that a bucket holds on average.
-PER_BUCKET = 1_000_000
+#: Packed prefix variants that a task gets on average, and that one prefix may have before it is split.
+PER_TASK, PER_PREFIX = 1_000_000, 4_000_000
+#: Prefixes that are next to each other share a packed row unless one is split.
+SHARED = 4
 ENTRY = np.dtype([("key", "<u2"), ("left", "u1"), ("fp", "<u8")])
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -153,77 +157,144 @@ def forest(links: np.ndarray) -> np.ndarray:
 
 
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(u, v) links that connect all pairs of the distinct 64-bit fingerprints fp within radius bits of each other."""
+    """(u, v) links, perhaps repeated, that connect all pairs of the distinct 64-bit fingerprints fp within radius bits of each other."""
     half = radius // 2
     if radius % 2:
         raise ValueError("an even radius is needed to meet in the middle")
-    per = sum(len(masks(PREFIX, f)) for f in range(half + 1))
-    buckets = int(min(1 << PREFIX, max(32, fps.count() * per // PER_BUCKET)))
     flips = [(np.uint64(m), half - f) for f in range(half + 1) for m in masks(PREFIX, f).tolist()]
 
+    def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return fp, fp >> np.uint64(64 - PREFIX)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << PREFIX, np.int64)
+        for batch in batches:
+            own = np.bincount(keys_of(batch)[1].astype(np.int64), minlength=1 << PREFIX)
+            counts += own
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["key", "n"])
+
+    own = np.zeros(1 << PREFIX, np.int64)
+    for key, n in fps.mapInArrow(tally, "key long, n long").groupBy("key").agg(F.sum("n")).collect():
+        own[key] = n
+    entries = sum(own[np.arange(1 << PREFIX) ^ int(mask)] for mask, _ in flips)
+    depth = np.zeros(1 << PREFIX, np.int64)
+    for bits in (8, 4):
+        depth[entries * sum(len(masks(bits, f)) for f in range(half + 1)) <= PER_PREFIX << bits] = bits
+    depth[entries > PER_PREFIX] = np.where(depth[entries > PER_PREFIX] == 0, 8, depth[entries > PER_PREFIX])
+    depth[entries <= PER_PREFIX] = 0
+    buckets = int(min(1 << 20, max(fps.sparkSession.sparkContext.defaultParallelism, entries.sum() // PER_TASK)))
+
+    def packed(bucket: np.ndarray, low: int, found: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(bucket, kind="stable")
+        bucket, found = bucket[order], found[order]
+        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        bounds = np.append(starts, len(bucket)).astype(np.int32) * np.int32(ENTRY.itemsize)
+        data = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(found.view(np.uint8))])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), low, np.int32)), pa.array(bucket[starts]), data], names=["low", "bucket", "entries"])
+
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            fp, key = keys_of(batch)
             if not len(fp):
                 continue
-            entries = np.empty((len(flips), len(fp)), ENTRY)
-            for row, (mask, left) in zip(entries, flips, strict=True):
-                row["key"] = (fp >> np.uint64(64 - PREFIX)) ^ mask
-                row["left"] = left
-                row["fp"] = fp
-            entries = entries.ravel()
-            to = (entries["key"].astype(np.int64) * buckets) >> PREFIX
-            order = np.argsort(to, kind="stable")
-            to, entries = to[order], entries[order]
-            starts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-            parts = np.split(entries, starts[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(to[starts].astype(np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["bucket", "entries"])
+            made = np.empty((len(flips), len(fp)), ENTRY)
+            for row, (mask, left) in zip(made, flips, strict=True):
+                row["key"], row["left"], row["fp"] = key ^ mask, left, fp
+            made = made.ravel()
+            deep = depth[made["key"]]
+            whole = made[deep == 0]
+            if len(whole):
+                yield packed(whole["key"].astype(np.int64) >> SHARED, 64 - PREFIX, whole)
+            for bits in sorted(set(deep[deep > 0].tolist())):
+                some = made[deep == bits]
+                low = 64 - PREFIX - bits
+                mine = (some["fp"] >> np.uint64(low)) & np.uint64((1 << bits) - 1)
+                for f in range(half + 1):
+                    enough = some["left"] >= f
+                    part, at = some[enough], mine[enough]
+                    for mask in masks(bits, f) if len(part) else ():
+                        moved = part.copy()
+                        moved["left"] -= f
+                        yield packed((part["key"].astype(np.int64) << bits) | (at ^ mask).astype(np.int64), low, moved)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(parts: list[bytes]) -> pa.RecordBatch:
+        def solved(low: int, bucket: int, parts: list[bytes]) -> pa.RecordBatch:
             x = np.frombuffer(b"".join(parts), ENTRY)
-            low = 64 - PREFIX
-            found = collide(x["fp"].astype(np.uint64), x["left"].astype(np.int64), x["key"].astype(np.uint64) << np.uint64(low), low, radius)
+            bits = 64 - PREFIX - low
+            head = x["key"].astype(np.uint64) << np.uint64(64 - PREFIX)
+            if bits:
+                head |= np.uint64(bucket & ((1 << bits) - 1)) << np.uint64(low)
+            found = collide(x["fp"].astype(np.uint64), x["left"].astype(np.int64), head, low, radius)
             tree = forest(found) if len(found) else found
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(tree[:, j]).view(np.int64)) for j in (0, 1)], names=["u", "v"])
 
         now, parts = None, []
         for batch in batches:
-            for bucket, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket != now and parts:
-                    yield solved(parts)
+            for low, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (low, bucket) != now and parts:
+                    yield solved(*now, parts)
                     parts = []
-                now = bucket
-                parts.append(entries)
+                now = low, bucket
+                parts.append(data)
         if parts:
-            yield solved(parts)
+            yield solved(*now, parts)
 
-    packed = fps.mapInArrow(scatter, "bucket int, entries binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "u long, v long").distinct()
+    spread = fps.mapInArrow(scatter, "low int, bucket long, entries binary")
+    return spread.repartition(buckets, "low", "bucket").sortWithinPartitions("low", "bucket").mapInArrow(meet, "u long, v long")
 
 
 def components(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """(doc_id, fp) rows -> (fp, root, component_id): for each distinct fingerprint, the smallest fingerprint and the smallest doc_id that links can reach."""
-    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """(doc_id, fp) rows -> (fp, root, component_id, n, size): for each distinct fingerprint, the smallest fingerprint and the smallest doc_id that links can reach, its number of rows and its component's."""
+    tasks = prints.sparkSession.sparkContext.defaultParallelism
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    least = cut(least.repartition(tasks))
     roots = connected_components(links(least.select("fp"), radius))
-    rooted = least.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted)
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "root", "component_id")
+    # Fingerprints without a link are their own components; the others and their roots are the few that are summed up.
+    members = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    found = cut_few(least.join(members, "fp", "left"))
+    tied = found.where("root is not null")
+    whole = cut_few(tied.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size"), F.count("*").alias("fps")))
+    tied = attach(tied.select("fp", "n", "root"), whole, "root", least.count(), number="fps")
+    alone = found.where("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"), "n", F.col("n").alias("size"))
+    return tied.select(*alone.columns).unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row of docs."""
     prints = cut(fingerprints(docs, words_per_shingle))
-    return prints.join(components(prints, radius), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = cut_few(components(prints, radius).select("fp", "component_id", "n"))
+    return attach(prints, found, "fp", prints.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Keys up to this number are broadcast, 32 bytes each; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4) -> DataFrame:
-    """docs with one row of each component: that with the smallest non-null doc_id, of rows with that id the one whose key is smallest."""
+    """docs with one row of each component: that with the smallest non-null doc_id, of rows with that id the one whose key is smallest, of rows with that text too the one whose columns' hash is smallest.
+
+    Only the keys of rows that go, or of which one stays, are joined to the
+    texts, so that rows without a near-duplicate are not shuffled.
+    """
     key = fresh("simhash_key", docs.columns)
     keyed = docs.withColumn(key, row_key(quoted("doc_id"), quoted("text")))
     prints = cut(fingerprints(keyed, words_per_shingle, keep=("doc_id", key)).select("doc_id", F.col(key).alias("k"), "fp"))
-    roots = components(prints, radius)
-    kept = prints.join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "k")).alias("least"))
-    kept = kept.select(F.col("least.k").alias(key)).distinct()
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+    roots = cut_few(components(prints, radius).where("size > 1").select("fp", "root", "n"))
+    tied = cut_few(attach(prints, roots, "fp", prints.count()))
+    kept = tied.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "k")).alias("least")).select(F.col("least.k").alias("k"))
+    repeated = tied.groupBy("k").agg(F.count("*").alias("copies"))
+    kept = kept.join(repeated, "k").select("k", "copies")
+    gone = repeated.join(kept.where("copies = 1"), "k", "left_anti").select(F.col("k").alias(key))
+    gone = cut_few(gone)
+    out = keyed.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, key, "left_anti")
+    again = cut_few(kept.where("copies > 1").select(F.col("k").alias(key)))
+    one = keyed.join(F.broadcast(again) if again.count() <= MOST_BROADCAST else again, key, "left_semi")
+    place, salt = fresh("simhash_place", one.columns), fresh("simhash_salt", one.columns)
+    order = F.xxhash64(*(quoted(c).cast("string") for c in docs.columns))
+    one = one.withColumn(salt, F.pmod(order, F.lit(64)))
+    for by in ((key, salt), (key,)):
+        first = Window.partitionBy(*(quoted(c) for c in by)).orderBy(order)
+        one = one.withColumn(place, F.row_number().over(first)).where(quoted(place) == 1)
+    return out.drop(key).unionByName(one.drop(key, place, salt))

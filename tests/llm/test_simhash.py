@@ -6,8 +6,9 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from quillframe.llm import simhash
+from quillframe.llm import common, simhash
 from quillframe.llm.common import connected_components
 
 
@@ -111,3 +112,23 @@ def test_one_row_of_each_component_stays(docs, odd):
         assert len(got) == len(set(groups))
         of = {repr(tuple(r)): g for r, g in zip(rows, groups, strict=True)}
         assert sorted(of[repr(tuple(r))] for r in got) == sorted(set(groups))
+
+
+@pytest.mark.parametrize("per_prefix", [2, 40])
+def test_split_prefixes_and_hot_keys(spark, docs, monkeypatch, per_prefix):
+    """Prefixes split before the shuffle and keys joined as hot ones change no result."""
+    monkeypatch.setattr(simhash, "PER_PREFIX", per_prefix)
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_SHARE", 1 << 30)
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0"))
+    assert sorted(repr(tuple(r)) for r in simhash.near_duplicates(twice).collect()) == expected(twice.collect())
+
+
+def test_of_rows_alike_in_id_and_text_the_same_one_stays(spark, monkeypatch):
+    rows = [(1, "a b c d e", f"s{i}") for i in range(20)] + [(2, "a b c d e", "t"), (3, "quite another text here", "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {tuple(r) for r in simhash.drop_near_duplicates(df).collect()}
+    assert got == {tuple(r) for r in simhash.drop_near_duplicates(df.orderBy(F.desc("source"))).collect()}
+    assert sorted(r[0] for r in got) == [1, 3]
+    monkeypatch.setattr(simhash, "MOST_BROADCAST", 0)
+    assert got == {tuple(r) for r in simhash.drop_near_duplicates(df).collect()}
