@@ -33,8 +33,10 @@ from quillframe.llm.common import quoted
 OPEN, CLOSE = b"<turn>", b"</turn>\n"
 CONTROL = re.compile(rb"<(?=/?turn>)")
 TRAINED = "assistant"
-#: Rows of a batch that are assembled at once; a part has no more.
-ROWS = 1024
+#: Rows, and bytes of their texts, that are assembled at once; a part has no more, but for a single longer turn.
+ROWS, BYTES = 1024, 4 << 20
+#: Longer texts are copied as a whole instead of by indices, which take eight times their bytes.
+WHOLE = 1 << 16
 PART = "conv_id {0}, part long, formatted binary, turn_starts array<long>, loss array<struct<start:long,stop:long>>"
 
 
@@ -51,12 +53,7 @@ def escaped(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     after = np.sort(np.concatenate([slashes, starts]))
     if not len(after):
         return data, ends
-    out = np.full(len(data) + len(after), 92, np.uint8)
-    extra = np.zeros(len(data) + 1, np.int64)
-    np.add.at(extra, after + 1, 1)
-    shift = np.cumsum(extra)
-    out[np.arange(len(data)) + shift[:-1]] = data
-    return out, ends + shift[ends]
+    return np.insert(data, after + 1, 92), ends + np.searchsorted(after, ends)
 
 
 def plain(data: bytes) -> bytes:
@@ -71,7 +68,16 @@ def column(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, ends: np.ndarray) -> None:
     """Copies text i of data to out[at[i]:]."""
     lengths = np.diff(ends, prepend=0)
-    out[np.arange(len(data)) + np.repeat(at - (ends - lengths), lengths)] = data
+    starts = ends - lengths
+    short = lengths <= WHOLE
+    for i in np.flatnonzero(~short).tolist():
+        out[at[i] : at[i] + lengths[i]] = data[starts[i] : ends[i]]
+    if short.all():
+        out[np.arange(len(data)) + np.repeat(at - starts, lengths)] = data
+    else:
+        n = np.where(short, lengths, 0)
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[within + np.repeat(at, n)] = data[within + np.repeat(starts, n)]
 
 
 def assemble(roles: list[str], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,14 +110,26 @@ def conversations(df: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
+def sliced(big: pa.RecordBatch, rows: int, octets: int) -> Iterator[pa.RecordBatch]:
+    """big in pieces of at most so many rows and, but for a single longer text, so many bytes of text."""
+    sizes = np.diff(np.frombuffer(big.column(3).buffers()[1], np.int32)[big.column(3).offset :][: big.num_rows + 1]).tolist() if big.num_rows else []
+    at = 0
+    while at < big.num_rows:
+        stop, size = at + 1, sizes[at]
+        while stop < big.num_rows and stop - at < rows and size + sizes[stop] <= octets:
+            size += sizes[stop]
+            stop += 1
+        yield big.slice(at, stop - at)
+        at = stop
+
+
 def format_conversations(df: DataFrame) -> DataFrame:
     """conv_id, part (from 0), formatted, turn_starts and loss (byte spans in the part) of all conversations, in order within a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         began, now, part = False, None, 0
         for big in batches:
-            for at in range(0, big.num_rows, ROWS):
-                batch = big.slice(at, ROWS)
+            for batch in sliced(big, ROWS, BYTES):
                 ids, roles = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 buffer, bounds, text_at, text_end = assemble(roles, batch.column(3).to_pylist())
                 firsts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1])]

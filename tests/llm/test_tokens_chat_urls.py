@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from quillframe.llm import chat, registry, tokens, urlfilter
+from quillframe.llm import chat, common, registry, tokens, urlfilter
 
 
 def test_length_sums(spark, docs, odd, none):
@@ -38,7 +38,9 @@ def slow_chat(rows):
         turns.sort(key=lambda t: (t[0], t[1], t[2].encode(), t[3].encode()))
         whole = "".join(f"{r}\n{t}\n" for *_, r, t in turns)
         loss = "".join(t for *_, r, t in turns if r == "assistant")
-        out.append(repr((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())))
+        hidden = lambda t: t.replace("\\", "\\\\").replace("<turn>", "<\\turn>").replace("</turn>", "<\\/turn>")
+        formatted = "".join("<turn>" + hidden(r).replace("\n", "\\n") + "\n" + hidden(t) + "</turn>\n" for *_, r, t in turns)
+        out.append(repr((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted))))
     return sorted(out)
 
 
@@ -46,7 +48,7 @@ def test_chat_query(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-7, 0, "user", registry.TRICKY), (-7, 1, "assistant", registry.TRICKY)]
     got = registry.op5_chat_formatting(spark, small).collect()
-    assert sorted(repr(tuple(r)[:5]) for r in got) == slow_chat(rows)
+    assert sorted(repr(tuple(r)) for r in got) == slow_chat(rows)
 
 
 @pytest.mark.parametrize("rows_at_once", [3, 1024])
@@ -58,12 +60,22 @@ def test_chat_with_control_strings(spark, monkeypatch, rows_at_once):
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, part string")
     formatted = chat.format_conversations(df)
     got = chat.digests(formatted).collect()
-    assert sorted(repr(tuple(r)[:5]) for r in got) == slow_chat(rows)
+    assert sorted(repr(tuple(r)) for r in got) == slow_chat(rows)
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
     parts = formatted.where("conv_id = 2").orderBy("part").collect()
     assert b"".join(p["formatted"] for p in parts).count(b"<turn>") == 9
 
 
+def test_long_turns_are_parts_of_their_own(spark, monkeypatch):
+    """Turns of a megabyte in bounded parts, and long texts copied as a whole beside short ones."""
+    monkeypatch.setattr(chat, "BYTES", 1 << 20)
+    texts = ["\\é<turn>" * 120_000, "short", "x" * 1_000_000, "</turn>" * 3, "y" * 70_000, ""] * 2
+    rows = [(c, i, "assistant" if i % 2 else "user", t) for c in (1, 2) for i, t in enumerate(texts)]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).cache()
+    assert sorted(repr(tuple(r)) for r in chat.digests(formatted).collect()) == slow_chat(rows)
+    assert formatted.selectExpr("max(octet_length(formatted))").first()[0] < 4 << 20 and formatted.count() > 8
+
+
 RULES = registry.URL_RULES
 
 
@@ -90,8 +102,11 @@ def test_urls(spark, small):
     assert {r["verdict"] for r in urlfilter.judge_urls(pages, rules.limit(0), default="block").collect()} == {"block"}
 
 
-def test_urls_with_many_rules(spark, monkeypatch):
+def test_urls_with_many_rules_and_hot_urls(spark, monkeypatch):
     monkeypatch.setattr(urlfilter, "MOST_BROADCAST", 0)
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_SHARE", 1 << 30)
+    many = [*URLS, *URLS[8:14], "http://" + "a." * 30_000 + "example.com/en/7", "http://" + "a" * 100_000 + ".net/de/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(many)], "page_id long, url string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    assert sorted(repr(tuple(r)) for r in urlfilter.judge_urls(pages, rules).collect()) == sorted(repr((i, *slow_url(u))) for i, u in enumerate(URLS))
+    assert sorted(repr(tuple(r)) for r in urlfilter.judge_urls(pages, rules).collect()) == sorted(repr((i, *slow_url(u))) for i, u in enumerate(many))
