@@ -40,8 +40,7 @@ SPACES[128:] = np.arange(128, 256)
 class Settings:
     """buckets, dim: of the embedding table. sample: at most about so many labelled rows are learned from, evenly by language.
 
-    window: of each sampled text, a slice of so many characters at most is
-    learned from (prediction reads whole texts). languages: more labels are an error. epochs, steps: at least so
+    Sampled texts are learned from whole. languages: more labels are an error. epochs, steps: at least so
     many passes and so many batches of 32. reject: share of right texts
     that calibration may turn away, half by score and half by known subwords.
     """
@@ -49,7 +48,6 @@ class Settings:
     buckets: int = 1 << 16
     dim: int = 16
     sample: int = 6000
-    window: int = 3000
     languages: int = 256
     epochs: int = 6
     steps: int = 1500
@@ -224,10 +222,11 @@ def sample(rows: DataFrame, s: Settings) -> list[tuple[str, str]]:
     share = F.lit(0.0)
     for row in counts:
         share = F.when(F.col("label") == row["label"], F.lit(min(1.0, each / row["count"]))).otherwise(share)
-    hashed = F.xxhash64("id", F.lit(s.seed)).bitwiseAND(F.lit(0xFFFFF)) / F.lit(float(1 << 20))
-    place = F.pmod(F.xxhash64("id", F.lit(s.seed + 1)), F.greatest(F.lit(1), F.length("text") - s.window)).cast("int") + 1
-    picked = rows.where(hashed < share).select("id", F.substring(F.col("text"), place, F.lit(s.window)).alias("text"), "label").limit(int(1.5 * s.sample) + 100)
-    return [(r["text"], r["label"]) for r in sorted(picked.collect(), key=lambda r: (r["id"], r["text"], r["label"]))]
+    # By id and text, so that rows of one id are not all in or all out; the limit takes the smallest, whatever the order of partitions.
+    number = F.xxhash64("id", "text", F.lit(s.seed))
+    picked = rows.where(number.bitwiseAND(F.lit(0xFFFFF)) / F.lit(float(1 << 20)) < share).select("id", "text", "label")
+    picked = picked.orderBy(F.xxhash64("id", "text", F.lit(s.seed + 1)), "id", "label").limit(int(1.5 * s.sample) + 100)
+    return [(r["text"], r["label"]) for r in sorted(picked.collect(), key=lambda r: (r["id"] or "", r["text"], r["label"]))]
 
 
 def fit(docs: DataFrame, learn: Column | None = None, settings: Settings | None = None, label: str = "lang") -> Model | None:
@@ -240,6 +239,29 @@ def fit(docs: DataFrame, learn: Column | None = None, settings: Settings | None
     return train([t for t, _ in got], [x for _, x in got], s) if got else None
 
 
+#: Rows, and characters, that are judged at once.
+ROWS, CHARS = 512, 1 << 22
+
+
+def judged(texts: list[str | None], found: np.ndarray, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, scores and whether they are accepted, of texts of which found tells whether they have a letter."""
+    if model is None:
+        return ["und"] * len(found), np.zeros(len(found)), np.zeros(len(found), bool)
+    langs, scores, accepted = [], [], []
+    at = 0
+    while at < len(texts):
+        stop, size = at + 1, len(texts[at] or "")
+        while stop < len(texts) and size + len(texts[stop] or "") <= CHARS:
+            size += len(texts[stop] or "")
+            stop += 1
+        x, y, z = model.predict(texts[at:stop])
+        langs += x
+        scores.append(y)
+        accepted.append(z)
+        at = stop
+    return [x if f else "und" for x, f in zip(langs, found, strict=True)], np.where(found, np.concatenate(scores), 0.0), found & np.concatenate(accepted)
+
+
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns keep with lang_pred, score and accepted, one row per row of docs."""
     names = [fresh(x, list(keep)) for x in ("lang_pred", "score", "accepted")]
@@ -248,17 +270,12 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for big in batches:
-            for at in range(0, big.num_rows, 512):
-                batch = big.slice(at, 512)
-                found = np.array(batch.column(batch.num_columns - 2).to_pylist(), bool)
-                if model is None:
-                    langs, scores, accepted = ["und"] * len(found), np.zeros(len(found)), np.zeros(len(found), bool)
-                else:
-                    langs, scores, accepted = model.predict(batch.column(batch.num_columns - 1).to_pylist())
-                    langs, scores, accepted = [x if f else "und" for x, f in zip(langs, found, strict=True)], np.where(found, scores, 0.0), found & accepted
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(langs), pa.array(scores), pa.array(accepted)], names=[*batch.schema.names[:-2], *names])
+            for at in range(0, big.num_rows, ROWS):
+                batch = big.slice(at, ROWS)
+                found = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
+                langs, scores, accepted = judged(batch.column(batch.num_columns - 1).to_pylist(), found, shared.value)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(langs, pa.string()), pa.array(scores), pa.array(accepted)], names=[*batch.schema.names[:-2], *names])
 
     schema = rows.drop(letter, whole).schema
     for name, kind in zip(names, ("string", "double", "boolean"), strict=True):
@@ -267,13 +284,27 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
 
 
 def keep_identified(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """docs without the rows that a model of their own labels rejects; the columns stay as they are."""
-    columns = tuple(docs.columns)
+    """docs without the rows that a model of their own labels rejects; the columns stay as they are. Without a labelled row there is no model to reject any: all rows stay.
+
+    A row goes to Python and back once; the rejected ones don't come back.
+    """
     model = fit(docs, settings=settings)
-    text = fresh("text_to_judge", list(columns))
-    out = predict(docs.withColumn(text, quoted("text")), model, keep=columns, text=text)
-    accepted = out.columns[-1]
-    return out.where(quoted(accepted)).select(*(quoted(c) for c in columns))
+    if model is None:
+        return docs
+    letter = fresh("has_letter", docs.columns)
+    rows = docs.withColumn(letter, F.coalesce(quoted("text").rlike(r"\p{L}"), F.lit(False)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, ROWS):
+                batch = big.slice(at, ROWS)
+                found = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+                accepted = judged(batch.column(place).to_pylist(), found, shared.value)[2]
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(accepted))
+
+    return rows.mapInArrow(run, docs.schema)
 
 
 def has_letter(text: str | None) -> bool:

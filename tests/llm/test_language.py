@@ -34,6 +34,10 @@ def test_odd_rows(odd, none, docs):
     assert {r["lang_pred"] for r in language.predict(odd, None).collect()} == {"und"}
     kept = language.keep_identified(odd)
     assert kept.columns == odd.columns
+    assert {r["doc_id"] for r in kept.collect()} <= {r["doc_id"] for r in odd.collect()}
+    assert language.keep_identified(none).count() == 0
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(map(repr, language.keep_identified(bare).collect())) == sorted(map(repr, bare.collect()))
 
 
 def test_sums_do_not_depend_on_slices(monkeypatch):
@@ -51,10 +55,14 @@ def test_sums_do_not_depend_on_slices(monkeypatch):
 
 def test_sample_is_bounded(docs):
     rows = docs.select(F.col("lang").alias("label"), F.col("doc_id").cast("string").alias("id"), "text")
-    s = language.Settings(sample=40, window=50)
+    s = language.Settings(sample=40)
     got = language.sample(rows, s)
-    assert 0 < len(got) <= 1.5 * 40 + 100 and max(len(t) for t, _ in got) <= 50
-    assert got == language.sample(rows, s)
+    assert 0 < len(got) <= 1.5 * 40 + 100
+    whole = {r["text"] for r in docs.collect()}
+    assert all(t in whole for t, _ in got)
+    assert got == language.sample(rows, s) == language.sample(rows.repartition(7, "text"), s)
+    one = rows.withColumn("id", F.lit("same"))
+    assert 0 < len(language.sample(one, s)) <= 1.5 * 40 + 100
     assert pytest.approx(len({x for _, x in got}), abs=3) == 4
 
 
@@ -79,3 +87,44 @@ def test_too_many_labels_are_an_error(spark):
     assert language.sample(rows.where("id < 256"), language.Settings())
     with pytest.raises(ValueError, match="256 labels"):
         language.sample(rows, language.Settings())
+
+
+def slow_subwords(text):
+    """The hashed buckets of a text's subwords by the definition: 2 to 4 bytes within a word and its borders."""
+    out = []
+    for word in "".join(c if c.isascii() and c.isalpha() or not c.isascii() else " " for c in text.lower()).split(" "):
+        data = b" " + word.encode() + b" "
+        for size in (2, 3, 4) if word else ():
+            for i in range(len(data) - size + 1):
+                part = data[i : i + size]
+                code = int.from_bytes(part, "big")
+                code = (code + size * 0x3C6EF372) * 0x9E3779B1 % 2**32
+                code = (code ^ code >> 15) * 0x85EBCA77 % 2**32
+                out.append(code >> 16)
+    return out
+
+
+def test_predictions_match_brute_force(docs):
+    """Subwords, averages, softmax and rejection by loops over the same model."""
+    import math
+
+    model = language.fit(docs)
+    texts = [r["text"] for r in docs.where(F.col("text").rlike(r"\p{L}")).orderBy("doc_id").limit(60).collect()] + ["a", "É!", "x y Straße 12", "ab" * 3000]
+    langs, scores, accepted = model.predict(texts)
+    for text, lang, score, ok in zip(texts, langs, scores, accepted, strict=True):
+        at = slow_subwords(text)
+        mean = [sum(float(model.logits[b, c]) for b in at) / len(at) for c in range(len(model.languages) + 1)]
+        odds = [(m + b) / model.temperature for m, b in zip(mean, model.bias, strict=False)]
+        top = max(odds)
+        share = [math.exp(o - top) for o in odds]
+        best = max(range(len(share)), key=share.__getitem__)
+        assert (lang, score) == (model.languages[best], pytest.approx(share[best] / sum(share), abs=1e-6))
+        if abs(score - model.threshold) > 1e-5 and abs(mean[-1] - model.known) > 1e-5:
+            assert ok == (score >= model.threshold and mean[-1] >= model.known)
+
+
+def test_learning_lowers_the_loss_to_what_was_taught():
+    texts = [f"{w} {v}" for w in ("alpha", "beta", "gamma") for v in ("one", "two", "three", "four", "five", "six")] * 4
+    texts += [f"{w} {v}" for w in ("крот", "мышь", "лиса") for v in ("раз", "два", "три", "пять", "семь", "сто")] * 4
+    model = language.train(texts, ["en"] * 72 + ["ru"] * 72, language.Settings())
+    assert model.predict(["beta six", "мышь сто", "alpha"])[0] == ["en", "ru", "en"]
