@@ -35,8 +35,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of all documents, their token ids and their places in sequences of 2048 tokens."""
+    return packing.packed_ids(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
