@@ -32,7 +32,8 @@ COLUMNS = "select *, case when ord % 7 = 0 then 0 when ord % 2 = 0 then 1 else 2
 MARKED = """
 select doc_id, lang, ord, case ord % 8 when 0 then concat(cast(ord % 9 + 1 as varchar(9)), '.', cast(doc_id % 4 + 1 as varchar(9)), ' ', text) when 1 then concat('(', cast(ord % 9 + 1 as varchar(9)), ') ', text)
   when 2 then concat('Figure ', cast(ord + 1 as varchar(9)), ': ', text) when 3 then concat('- ', text) when 4 then concat('• ', text) when 5 then concat(cast(ord % 9 + 1 as varchar(9)), '. ', text)
-  when 6 then concat(cast(ord % 9 + 1 as varchar(9)), ' ', text) else text end as text from {lines}
+  when 6 then concat(cast(ord % 9 + 1 as varchar(9)), ' ', text) else
+    case floor(ord / 8) % 6 when 0 then concat('１\u3000', text) when 1 then concat('１．２ ', text) when 2 then concat('（１２）', text) when 3 then concat('図１：', text) when 4 then concat('１２．', text) else concat('表\u3000３-１\u3000', text) end end as text from {lines}
 """
 TABLE_ROWS = """
 select l_orderkey as t, l_linenumber as r, cast(l_partkey as varchar(20)) as a, cast(l_suppkey as varchar(20)) as b, concat(l_returnflag, l_linestatus) as c,

@@ -46,38 +46,58 @@ def guess_lang(t: Tables) -> DataFrame:
     return d.groupBy("lang", "guess").agg(F.count("*").alias("n"))
 
 
-@query("select doc_id, ord, md5(case when ord % 3 = 0 then 'fi' || text when ord % 3 = 1 then text || '•' else '“' || text end) as text from lines where not regexp_matches(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f]')")
+def replaced_sql(c: str) -> str:
+    for code, text in fn.CONTROLS.items():
+        c = f"replace({c}, chr({code}), '{text}')"
+    return f"regexp_replace({c}, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f]', '', 'g')"
+
+
+CODES = list(fn.CONTROLS)
+
+
+@query(f"select doc_id, ord, md5(concat(([{', '.join(repr(x) for x in fn.CONTROLS.values())}])[ord % 18 + 1], {replaced_sql('text')}, ([{', '.join(repr(x) for x in fn.CONTROLS.values())}])[ord % 17 + 1])) as text from lines")
 def control_char_fix(t: Tables) -> DataFrame:
-    broken = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("\x1c\x01"), "text")).when(F.col("ord") % 3 == 1, F.concat("text", F.lit("\x88"))).otherwise(F.concat(F.lit("\x10\x7f"), "text"))
-    return t.lines.where(~F.col("text").rlike(fn.LOST)).select("doc_id", "ord", digest(fn.fix_controls(broken)).alias("text"))
+    """Every line, whatever control characters it has, with one code of the table before it and another, and one that is lost, after it."""
+    codes = F.array(*(F.lit(chr(c)) for c in CODES))
+    broken = F.concat(F.get(codes, F.col("ord") % 18), "text", F.lit("\x01\x7f\x9f"), F.get(codes, F.col("ord") % 17))
+    return t.lines.select("doc_id", "ord", digest(fn.fix_controls(broken)).alias("text"))
 
 
-NUMBER = r"[0-9]{1,2}(?:\.[0-9]{1,2})*"
+#: White space and digits in the other engine's patterns, which know neither (?U) nor looking ahead.
+S, D = r"[\s\p{Z}\x0b\x1c-\x1f\x85]", r"\p{Nd}"
+COUNTER = "[年月日時分秒章節項回位点人個件円倍]"
 
 
 @query(f"""
-, s as (select doc_id, ord, text, case when regexp_matches(text, '^{NUMBER}\\.?\\s+([^年月日時分秒章節項回位点人個件円倍\\s]|$)') then regexp_replace(text, '^{NUMBER}\\.?\\s+', '') when regexp_matches(text, '^{NUMBER}\\.[^0-9\\s]') then regexp_replace(text, '^{NUMBER}\\.', '') else text end as s from marked)
-select doc_id, ord, md5(case when trim(s) = '' then text else s end) as text from s""")
+, n as (select doc_id, ord, text, regexp_extract(text, '^({D}{{1,2}}(\\.{D}{{1,2}})*)', 1) as number from marked), r as (select *, substr(text, length(number) + 1) as rest from n),
+k as (select *, regexp_extract(rest, '^(\\.?{S}+)', 1) as gap from r),
+s as (select doc_id, ord, text, case when number = '' then text when gap <> '' and not regexp_matches(substr(rest, length(gap) + 1), '^{COUNTER}') then substr(rest, length(gap) + 1)
+  when gap <> '' and length(gap) - (case when gap[1] = '.' then 1 else 0 end) > 1 then substr(rest, length(gap)) when rest[1] = '.' and regexp_matches(substr(rest, 2), '^[^{D}]') and not regexp_matches(substr(rest, 2), '^{S}') then substr(rest, 2) else text end as s from k)
+select doc_id, ord, md5(case when regexp_replace(s, '{S}', '', 'g') = '' then text else s end) as text from s""")
 def strip_heading_numbers(t: Tables) -> DataFrame:
     return t.marked.select("doc_id", "ord", digest(fn.strip_heading_number(F.col("text"))).alias("text"))
 
 
-@query("""
-, s as (select doc_id, ord, text, regexp_replace(text, '^(?:図|表|Figure|Fig\\.|Table)\\s*[0-9]+(?:[.\\-][0-9]+)*(?:\\s*[:：.．]\\s*|\\s+)', '') as s from marked)
-select doc_id, ord, md5(case when trim(s) = '' then text else s end) as text from s""")
+@query(f"""
+, w as (select doc_id, ord, text, case when starts_with(text, '図') or starts_with(text, '表') then 1 when starts_with(text, 'Figure') then 6 when starts_with(text, 'Fig.') then 4 when starts_with(text, 'Table') then 5 else 0 end as n from marked),
+r as (select *, regexp_extract(substr(text, n + 1), '^({S}*{D}+([.\\-]{D}+)*)', 1) as number from w), g as (select *, substr(text, n + length(number) + 1) as rest from r),
+s as (select doc_id, ord, text, case when n = 0 or number = '' then text else coalesce(nullif(regexp_extract(rest, '^({S}*[:：.．]{S}*)', 1), ''), regexp_extract(rest, '^({S}+)', 1)) end as gap, n, number, rest from g),
+f as (select doc_id, ord, text, case when n = 0 or number = '' or gap = '' then text else substr(rest, length(gap) + 1) end as s from s)
+select doc_id, ord, md5(case when regexp_replace(s, '{S}', '', 'g') = '' then text else s end) as text from f""")
 def strip_caption_numbers(t: Tables) -> DataFrame:
     return t.marked.select("doc_id", "ord", digest(fn.strip_caption_number(F.col("text"))).alias("text"))
 
 
-@query("""
-, k as (select lang, case when regexp_matches(text, '^[(（][0-9]+[)）]') then 'paren' when regexp_matches(text, '^[0-9]+[.．)）]') then 'number' when regexp_matches(text, '^・') then 'dot' when regexp_matches(text, '^[•●◦▪*]') then 'bullet'
-  when regexp_matches(text, '^[-–—−‐]\\s+') then 'dash' end as marker from marked)
+@query(f"""
+, h as (select lang, text, text[1] as c, regexp_extract(text, '^([(（]?{D}+)', 1) as number, length(text) as n from marked),
+k as (select lang, case when number <> '' and c in ('(', '（') and text[length(number) + 1] in (')', '）') then 'paren' when number <> '' and c not in ('(', '（') and text[length(number) + 1] in ('.', '．', ')', '）') then 'number'
+  when c = '・' then 'dot' when c in ('•', '●', '◦', '▪', '*') then 'bullet' when c in ('-', '–', '—', '−', '‐') and regexp_matches(text[2], '^{S}') then 'dash' end as marker from h)
 select lang, marker, count(*) as n from k group by lang, marker""")
 def list_marker_kinds(t: Tables) -> DataFrame:
     return t.marked.select("lang", fn.list_marker(F.col("text")).alias("marker")).groupBy("lang", "marker").agg(F.count("*").alias("n"))
 
 
-@query("select doc_id, ord, least(3, len(string_split(regexp_extract(text, '^([0-9]+(?:\\.[0-9]+)*)\\.?\\s', 1), '.'))) as level from marked where regexp_extract(text, '^([0-9]+(?:\\.[0-9]+)*)\\.?\\s', 1) <> ''")
+@query(f"select doc_id, ord, least(3, len(string_split(number, '.'))) as level from (select doc_id, ord, regexp_extract(text, '^({D}+(?:\\.{D}+)*)\\.?{S}', 1) as number from marked) where number <> ''")
 def heading_number_levels(t: Tables) -> DataFrame:
     return t.marked.select("doc_id", "ord", fn.number_depth(F.col("text")).alias("level")).where("level is not null")
 
@@ -95,7 +115,10 @@ def tex_escape(t: Tables) -> DataFrame:
     return t.lines.select("doc_id", "ord", digest(fn.tex_escape(F.col("text"))).alias("tex"))
 
 
-@query("select doc_id, len(regexp_extract_all(coalesce(text, ''), '(\\\\[a-zA-Z]+|\\\\.|\\S)')) as n_tokens, coalesce(len(regexp_extract_all(text, '(\\\\[a-zA-Z]+|\\\\.|\\S)')), 0) <= 500 as in_scope from documents")
+@query(f"""
+, t as (select row_number() over () as n, doc_id, coalesce(regexp_extract_all(text, '\\\\[a-zA-Z]+|\\\\.|[^\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]'), []) as ts from documents), v as (select distinct unnest(ts) as w from t where doc_id % 5 <> 0),
+bad as (select distinct n from (select n, unnest(ts) as w from t where len(ts) <= 50) as x where not exists (select 1 from v where v.w = x.w))
+select doc_id, len(ts) as n_tokens, len(ts) <= 50 and n not in (select n from bad) as in_scope from t""")
 def tex_token_scope(t: Tables) -> DataFrame:
     """At most 50 tokens, all in the vocabulary: the tokens of the training fold."""
     tokens = fn.tex_tokens(F.coalesce("text", F.lit("")))
