@@ -33,7 +33,7 @@ def medians(t: Tables) -> DataFrame:
     return upper.join(t.gt.groupBy(*PAGE).agg(F.median("x1").alias("median")), PAGE)
 
 
-@query("select doc_id, text as header, count(distinct page) as n_pages from (select doc_id, page, substr(text, 1, 2) as text from gt where ord % 40 < 6) group by doc_id, text having count(distinct page) >= 2")
+@query("select doc_id, text as header, count(distinct page) as n_pages from (select doc_id, page, text from gt where ord % 40 < 6) group by doc_id, text having count(distinct page) >= 2")
 def repeated_headers(t: Tables) -> DataFrame:
     rows = t.gt.select(*PAGE, "ord", F.col("text").alias("header"))
     return layout.repeated_headers(rows, "doc_id", "page", "header", F.col("ord") % 40 < 6)
@@ -54,7 +54,7 @@ def banded_reading_order(t: Tables) -> DataFrame:
 
 
 @query("""
-, c as (select doc_id, page, ord, y0 + (ord * 5) % 11 as center, 10 + ord % 4 * 10 as size from gt where ord % 4 <> 3),
+, c as (select doc_id, page, ord, y0 - ord % 3 * 20 + (ord * 5) % 11 as center, 10 + ord % 4 * 10 as size from gt),
 g as (select *, center - lag(center) over (partition by doc_id, page order by center, ord) as gap, median(size) over (partition by doc_id, page) / 2 as half from c)
 select doc_id, cast(page as bigint) as page, ord, cast(sum(case when gap > half or gap is null then 1 else 0 end) over (partition by doc_id, page order by center, ord rows unbounded preceding) as bigint) as row from g""")
 def row_islands_by_gap(t: Tables) -> DataFrame:
@@ -91,7 +91,7 @@ def run_length_segments(t: Tables) -> DataFrame:
 
 
 @query("""
-, c as (select doc_id, page, y0, max(y1) over (partition by doc_id, page order by y0, y1 rows between unbounded preceding and 1 preceding) as covered from gt where ord % 5 <> 0)
+, i as (select doc_id, page, y0, y1 + (ord * 5) % 11 * 3 as y1 from gt), c as (select doc_id, page, y0, max(y1) over (partition by doc_id, page order by y0, y1 rows between unbounded preceding and 1 preceding) as covered from i)
 select doc_id, cast(page as bigint) as page, (y0 + covered) / 2.0 as cut from c where y0 > covered""")
 def interval_gap_cuts(t: Tables) -> DataFrame:
     return layout.gap_cuts(overlapping(t), PAGE, "y0", "y1")
@@ -136,8 +136,8 @@ def neighbour_features(t: Tables) -> DataFrame:
 
 
 @query("""
-, e as (select a.doc_id, a.page, a.ord as a, b.ord as b from gt a join gt b on a.doc_id = b.doc_id and a.page = b.page and a.ord <> b.ord and greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 4 and greatest(a.y0, b.y0) - least(a.y1, b.y1) <= 4 where a.kind = 'text' and b.kind = 'text' and a.ord % 3 <> 0 and b.ord % 3 <> 0),
-reach as (select doc_id, page, ord as a, ord as b from gt where kind = 'text' and ord % 3 <> 0 union select r.doc_id, r.page, r.a, e.b from reach r join e on e.doc_id = r.doc_id and e.page = r.page and e.a = r.b)
+, e as (select a.doc_id, a.page, a.ord as a, b.ord as b from gt a join gt b on a.doc_id = b.doc_id and a.page = b.page and a.ord <> b.ord and greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 4 and greatest(a.y0, b.y0) - least(a.y1, b.y1) <= 4 where a.kind = 'text' and b.kind = 'text'),
+reach as (select doc_id, page, ord as a, ord as b from gt where kind = 'text' union select r.doc_id, r.page, r.a, e.b from reach r join e on e.doc_id = r.doc_id and e.page = r.page and e.a = r.b)
 select doc_id, cast(page as bigint) as page, a as ord, min(b) as fragment from reach group by doc_id, page, a""")
 def fragment_components(t: Tables) -> DataFrame:
     """Transitive closure of near boxes: a page's boxes, which are few, meet in one group."""

@@ -24,7 +24,7 @@ def plain(rows):
     return sorted(repr(tuple(round(float(x), 5) + 0.0 if isinstance(x, float) else x for x in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["detection_scores_by_tag", "greedy_iou_match", "grouped_scores_grouping_sets", "confusion_matrix", "banded_reading_order", "run_length_segments", "fragment_components", "document_to_tex", "metric_rank", "oracle_vs_single_best", "strip_heading_numbers", "table_cell_accuracy"])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, engine, name):
     df = registry.queries()[name](spark, SMALL)
     names = sorted(df.columns)
