@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import CAPTION, tex_escape
+from quillframe.functions.text import CAPTION, TABLE_CAPTION, tex_escape
+
+
+# Fixed value: what a date looks like.
+DATE = r"(?U)\d{4}\s*年|\d{4}[/.\-]\d{1,2}[/.\-]\d{1,2}|(令和|平成|昭和)\s*(\d+|元)\s*年|(January|February|March|April|May|June|July|August|September|October|November|December)\s+\d"
 
 
 def attach_captions(df: DataFrame, page: list[str]) -> DataFrame:
@@ -13,7 +17,7 @@ def attach_captions(df: DataFrame, page: list[str]) -> DataFrame:
     w = Window.partitionBy(*page).orderBy("ord")
     taken = lambda x: F.when(x["label"].isin("table", "figure"), x["ord"])
     here = F.struct("label", "ord")
-    first = F.col("text").rlike(r"^(?:表|Table)")
+    first = F.col("text").rlike(TABLE_CAPTION)
     before, after = taken(F.lag(here).over(w)), taken(F.lead(here).over(w))
     c = df.select(*page, "ord", "label", F.when(first, after).otherwise(before).alias("a"), F.when(first, before).otherwise(after).alias("b")).where("label = 'caption'")
     # At most two captions want one target, so the ones already taken are the few of the page.
@@ -56,12 +60,35 @@ def vote(experts: dict[str, Column], least: float = 0.5, default: str = "paragra
 
 
 def classify(df: DataFrame, size_ratio: float = 1.3, heading_chars: int = 50, caption_chars: int = 100) -> DataFrame:
-    """df (kind, text, size2, body) with column rule."""
+    """df (kind, text, size2, bold, body) with column rule: a caption, a heading that is large or bold and short, or a paragraph. Texts under tables and figures are taken out first (matching.absorb)."""
     n = F.length("text")
-    rule = F.when(F.col("kind") != "text", F.col("kind")).when(F.col("text").rlike(CAPTION) & (n <= caption_chars), "caption").when((F.col("size2") >= size_ratio * F.col("body")) & (n <= heading_chars), "heading").otherwise("paragraph")
+    stands_out = (F.col("size2") >= size_ratio * F.col("body")) | F.coalesce(F.col("bold"), F.lit(False))
+    rule = F.when(F.col("kind") != "text", F.col("kind")).when(F.col("text").rlike(CAPTION) & (n <= caption_chars), "caption").when(stands_out & (n <= heading_chars), "heading").otherwise("paragraph")
     return df.withColumn("rule", rule)
 
 
+def find_titles(df: DataFrame, doc: list[str], width: float, size_ratio: float = 1.3, chars: int = 50, tolerance: float = 0.05, most: float = 0.7, gap: float = 2.0) -> DataFrame:
+    """(doc, ord, role) of the title, authors and date on first pages: df has ord, x0, y0, x1, y1, size, text and body.
+
+    From the top, the first run of centred, narrow, short lines that follow one
+    another within gap sizes of the largest so far; if its largest size stands
+    out from the body, the run from the first line of that size on.
+    """
+    w = Window.partitionBy(*doc).orderBy("y0", "ord")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    fits = (F.abs((F.col("x0") + F.col("x1")) / 2 - width / 2) <= width * tolerance) & (F.col("x1") - F.col("x0") <= width * most) & ~F.col("text").contains("\n") & (F.length("text") <= chars)
+    d = df.withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    # Before the run nothing fits; what doesn't fit, or is too far down, ends it.
+    d = d.withColumn("_begun", F.max(F.col("_fits").cast("int")).over(so_far) == 1).where("_begun")
+    d = d.withColumn("_largest", F.max("size").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    far = F.coalesce(F.col("y0") - F.lag("y1").over(w) > gap * F.col("_largest"), F.lit(False))
+    d = d.withColumn("_over", F.max((~F.col("_fits") | far).cast("int")).over(so_far) == 1).where("not _over")
+    d = d.withColumn("_title", F.max("size").over(Window.partitionBy(*doc))).where(F.col("_title") >= size_ratio * F.col("body"))
+    d = d.withColumn("_from", F.max((F.col("size") == F.col("_title")).cast("int")).over(so_far) == 1).where("_from")
+    role = F.when(F.col("size") == F.col("_title"), "title").when(F.col("text").rlike(DATE), "date").otherwise("author")
+    return d.select(*doc, "ord", role.alias("role"))
+
+
 def block_tex(label: Column, level: Column, body: Column) -> Column:
     """A block's TeX; body is escaped."""
     command = lambda name: F.concat(F.lit("\\" + name + "{"), body, F.lit("}"))

@@ -51,20 +51,31 @@ def merged(boxes: list[tuple], gap: float) -> list[tuple]:
     return sorted(out)
 
 
-def blocks(rows: list[tuple], gap: float = 0.8, ratio: float = 1.3) -> list[int]:
-    """A block's number for each (x0, y0, x1, y1) line, in order: it joins the last block if the gap is at most gap line heights, heights are within ratio and they overlap in x."""
-    out, last, hull_ = [], -1, None
+def blocks(rows: list[tuple], gap: float = 0.8, ratio: float = 1.3, indent: float = 0.8, short: float = 2.0) -> list[int]:
+    """A block's number for each (x0, y0, x1, y1) line, from the top: of the blocks so far, the latest whose last line it continues.
+
+    Measures are in heights of the taller of the two lines: the gap between
+    them, how far the line is indented against its block (a new paragraph), and
+    how much shorter than it the last line is (a paragraph that ended).
+    """
+    open_blocks: list[tuple[tuple, float]] = []  # the last line and the left edge
+    out = []
     for box in rows:
-        h = box[3] - box[1]
-        if hull_ is not None:
-            before = rows[len(out) - 1]
-            k = before[3] - before[1]
-            joins = box[1] - hull_[3] <= gap * min(h, k) and max(h, k) <= ratio * min(h, k) and min(box[2], hull_[2]) > max(box[0], hull_[0])
+        found = len(open_blocks)
+        for k in range(len(open_blocks) - 1, -1, -1):
+            last, left = open_blocks[k]
+            heights = box[3] - box[1], last[3] - last[1]
+            unit = max(heights)
+            near_enough = box[1] - last[3] <= unit * gap and unit <= ratio * min(heights)
+            beside = min(last[2], box[2]) > max(last[0], box[0])
+            if near_enough and beside and box[0] - left < unit * indent and box[2] - last[2] < unit * short:
+                found = k
+                break
+        if found == len(open_blocks):
+            open_blocks.append((box, box[0]))
         else:
-            joins = False
-        hull_ = hull(hull_, box) if joins else box
-        last += not joins
-        out.append(last)
+            open_blocks[found] = box, min(open_blocks[found][1], box[0])
+        out.append(found)
     return out
 
 

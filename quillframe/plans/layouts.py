@@ -230,7 +230,7 @@ def expert_vote(t: Tables) -> DataFrame:
 
 @query("""
 , b as (select doc_id, size2, sum(length(text)) as w, min(ord) as f from gt group by doc_id, size2), body as (select doc_id, size2 as body from (select *, row_number() over (partition by doc_id order by w desc, f) as n from b) where n = 1)
-select doc_id, ord, case when kind <> 'text' then kind when regexp_matches(text, '^(図|表|Figure|Fig\\.|Table)\\s*[0-9]+') and length(text) <= 100 then 'caption' when size2 >= 1.1 * body and length(text) <= 50 then 'heading' else 'paragraph' end as label
+select doc_id, ord, case when kind <> 'text' then kind when regexp_matches(text, '^(図|表|Figure|Fig\\.|Table)\\s*[0-9]+') and length(text) <= 100 then 'caption' when (size2 >= 1.1 * body or bold) and length(text) <= 50 then 'heading' else 'paragraph' end as label
 from gt join body using (doc_id)""")
 def rule_classifier(t: Tables) -> DataFrame:
     """Kind, then caption, then heading by size against the document's body size, then paragraph."""

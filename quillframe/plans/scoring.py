@@ -85,14 +85,15 @@ def confusion_matrix(t: Tables) -> DataFrame:
 
 
 @query("""
-, n as (select label, sum(a) as n_gt, sum(b) as n_pred, sum(f) as n_found, sum(k) as n_right from (select label, 1 as a, 0 as b, 0 as f, 0 as k from gt union all select label, 0, 1, 0, 0 from pred
+, n as (select label, sum(a) as n_gt, sum(b) as n_pred, sum(f) as n_found, sum(k) as n_right from (select label, 1 as a, 0 as b, 0 as f, 0 as k from gt union all select label, 0, 1, 0, 0 from pred where (doc_id, page) in (select doc_id, page from gt)
   union all select g_label, 0, 0, 1, case when g_label = p_label then 1 else 0 end from pairs) group by label),
 s as (select label, n_gt, n_pred, n_found / nullif(n_gt, 0) as found_rate, n_right / nullif(n_gt, 0) as recall, n_right / nullif(n_pred, 0) as precision from n)
 select label, cast(n_gt as bigint) as n_gt, cast(n_pred as bigint) as n_pred, round(found_rate, 6) as found_rate, round(recall, 6) as recall, round(precision, 6) as precision,
   round(case when recall is null then null when precision is null or precision + recall = 0 then 0 else 2 * precision * recall / (precision + recall) end, 6) as f1 from s""")
 def label_scores(t: Tables) -> DataFrame:
     rows = t.gt.select("label", F.lit(1).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("f"), F.lit(0).alias("k"))
-    rows = rows.unionByName(t.pred.select("label", F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(0).alias("f"), F.lit(0).alias("k")))
+    seen = t.gt.select(*PAGE).distinct()
+    rows = rows.unionByName(t.pred.join(seen, PAGE, "left_semi").select("label", F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(0).alias("f"), F.lit(0).alias("k")))
     rows = rows.unionByName(pairs(t).select(F.col("g_label").alias("label"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("f"), (F.col("g_label") == F.col("p_label")).cast("int").alias("k")))
     n = rows.groupBy("label").agg(*(F.sum(x).alias(x) for x in "abfk"))
     c = F.col
