@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions.geometry import Box, area, contains_point, iou, overlap_ratio
+from quillframe.functions.text import CAPTION
 
 
 def pairs(pred: DataFrame, gt: DataFrame, page: list[str], condition: Column) -> DataFrame:
@@ -75,3 +76,19 @@ def absorb(texts: DataFrame, regions: DataFrame, page: list[str], least: float =
     for s in same:
         condition = condition & s
     return texts.join(r, condition, "left_anti")
+
+
+def captions_by_gap(targets: DataFrame, texts: DataFrame, page: list[str], body: float, chars: int = 150) -> DataFrame:
+    """(page, ord, caption) of tables and figures (ord, box): in order, each takes the free caption beside it in x whose vertical gap, from -2 to less than four body sizes, is smallest, the first of equals; those without one are left out."""
+    c = texts.where(F.col("text").rlike(CAPTION) & (F.length("text") <= chars))
+    both = renamed(targets, page, "g_").join(renamed(c, page, "p_"), page)
+    gap = F.greatest(F.col("p_y0") - F.col("g_y1"), F.col("g_y0") - F.col("p_y1"))
+    both = both.withColumn("gap", gap).where((F.col("gap") >= -2) & (F.col("gap") < 4 * body) & (F.least("g_x1", "p_x1") > F.greatest("g_x0", "p_x0")))
+    rows = both.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col("g_ord").alias("o"), "gap", F.col("p_ord").alias("c")))).alias("xs"))
+    empty = F.array().cast("array<struct<o:bigint,c:bigint>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        free = ~F.exists(acc, lambda y: (y["o"] == x["o"]) | (y["c"] == x["c"]))
+        return F.when(free, F.concat(acc, F.array(F.struct(x["o"].cast("bigint").alias("o"), x["c"].cast("bigint").alias("c"))))).otherwise(acc)
+
+    return rows.select(*page, F.explode(F.aggregate("xs", empty, step)).alias("x")).select(*page, F.col("x.o").alias("ord"), F.col("x.c").alias("caption"))

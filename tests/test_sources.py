@@ -139,3 +139,37 @@ def test_words_that_count_make_paragraphs(spark):
     df = spark.createDataFrame(rows, "page int, ord int, block int, par int, line int, text string, conf int, left int, top int, width int, height int")
     got = [tuple(r) for r in ocr.word_elements(df, ["page"], F.lit(100.0), F.lit(200.0), 2.0).collect()]
     assert got == [(1, 0, 0.05, 0.025, 0.5, 0.125, "Hello world\n次行", 10.0, 0.775)]
+
+
+def test_decorations_match_a_plain_loop(spark):
+    from difflib import SequenceMatcher
+
+    sums = defaultdict(lambda: [0, 0, 0])
+    for r in Tables(spark, SMALL).gt.select("lang", "text").collect():
+        g, p = ("".join("".join(w for i, w in enumerate(r["text"].split(" ")) if i % k).split()) for k in (3, 4))
+        n = sum(b.size for b in SequenceMatcher(None, p, g, autojunk=False).get_matching_blocks())
+        for at, x in enumerate((n, len(p), len(g))):
+            sums[r["lang"]][at] += x
+    got = {r["lang"]: [r["matched"], r["n_pred"], r["n_gt"]] for r in registry.queries()["decoration_scores"](spark, SMALL).collect()}
+    assert got == sums
+
+
+def test_captions_by_gap_match_a_plain_loop(spark):
+    import re
+
+    from quillframe.operators import matching
+
+    rng = random.Random(8)
+    boxes = "page int, ord int, x0 double, y0 double, x1 double, y1 double"
+    targets = [(p, i, float(x := rng.randrange(4) * 30), float(y := rng.randrange(9) * 20), x + 40.0, y + 15.0) for p in range(30) for i in range(5)]
+    texts = [(p, i, float(x := rng.randrange(4) * 30), float(y := rng.randrange(9) * 20 + 16), x + 40.0, y + 5.0, rng.choice(["図１ あ", "Table 2", "表", "plain", "Fig.3" + "x" * 150])) for p in range(30) for i in range(10, 18)]
+    want = set()
+    for p in range(30):
+        used = set()
+        for t in sorted(x for x in targets if x[0] == p):
+            near = [(gap, c[1]) for c in texts if c[0] == p and c[1] not in used and re.match(r"(図|表|Figure|Fig\.|Table)\s*\d+", c[6]) and len(c[6]) <= 150 and min(t[4], c[4]) > max(t[2], c[2]) and -2 <= (gap := max(c[3] - t[5], t[3] - c[5])) < 40]
+            if near:
+                used.add(min(near)[1])
+                want.add((p, t[1], min(near)[1]))
+    got = {tuple(r) for r in matching.captions_by_gap(spark.createDataFrame(targets, boxes), spark.createDataFrame(texts, boxes + ", text string"), ["page"], 10.0).collect()}
+    assert got == want and len(got) > 20
