@@ -35,11 +35,29 @@ def greedy(candidates: Column) -> Column:
     return F.aggregate(F.reverse(F.array_sort(candidates)), zero, step, lambda acc: acc["taken"])
 
 
+def matched_pages(pred: DataFrame, gt: DataFrame, page: list[str], columns: list[str], threshold: float = 0.5) -> DataFrame:
+    """(page, gs, ps, pairs): a page's true and predicted elements (ord, box and columns) by ord, and the pairs (iou, i, j, g, p) taken, of all pages that either side has.
+
+    Both sides meet in one shuffle by page, where all that is to be known of
+    them is at hand. A page's boxes are compared with each other only where
+    their rows overlap.
+    """
+    fields = ["ord", "x0", "y0", "x1", "y1", *columns]
+    sides = [df.select(*page, F.lit(side).alias("side"), F.struct(*(F.col(c).alias(c) for c in fields)).alias("e")) for df, side in ((gt, "g"), (pred, "p"))]
+    whole = sides[0].unionByName(sides[1]).groupBy(*page).agg(*(F.sort_array(F.collect_list(F.when(F.col("side") == x, F.col("e")))).alias(f"{x}s") for x in "gp"))
+
+    def candidates(p: Column) -> Column:
+        beside = F.filter(F.col("gs"), lambda g: (F.least(g["y1"], p["y1"]) > F.greatest(g["y0"], p["y0"])) & (F.least(g["x1"], p["x1"]) > F.greatest(g["x0"], p["x0"])))
+        scored = F.transform(beside, lambda g: F.struct(iou(Box.field(p), Box.field(g)).alias("iou"), p["ord"].alias("i"), g["ord"].alias("j"), g.alias("g"), p.alias("p")))
+        return F.filter(scored, lambda c: c["iou"] >= threshold)
+
+    return whole.withColumn("pairs", F.flatten(F.transform("ps", candidates))).withColumn("pairs", greedy(F.col("pairs")))
+
+
 def match(pred: DataFrame, gt: DataFrame, page: list[str], threshold: float = 0.5) -> DataFrame:
-    """One-to-one pairs (page, i, j, iou) of the boxes' column ord. A page's candidates are at most its own boxes' pairs over the threshold."""
-    c = candidate_pairs(pred, gt, page, threshold).select(*page, F.struct("iou", F.col("p_ord").alias("i"), F.col("g_ord").alias("j")).alias("c"))
-    taken = c.groupBy(*page).agg(greedy(F.collect_list("c")).alias("taken"))
-    return taken.select(*page, F.explode("taken").alias("t")).select(*page, "t.i", "t.j", "t.iou")
+    """One-to-one pairs (page, i, j, iou) of the boxes' column ord."""
+    taken = matched_pages(pred, gt, page, [], threshold)
+    return taken.select(*page, F.explode("pairs").alias("t")).select(*page, "t.i", "t.j", "t.iou")
 
 
 def best_overlap(inner: DataFrame, outer: DataFrame, page: list[str], value: str, least: float = 0.5) -> DataFrame:

@@ -191,7 +191,7 @@ def heading_counts(t: Tables) -> DataFrame:
     from quillframe.plans.scoring import pairs, r6
 
     g, p = F.col("g_label") == "heading", F.col("p_label") == "heading"
-    x = pairs(t).groupBy("lang").agg(F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn"))
+    x = pairs(t, "label").groupBy("lang").agg(F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn"))
     return x.select("lang", "tp", "fp", "fn", r6(geometry.ratio(F.col("tp"), F.col("tp") + F.col("fp")), "precision"), r6(geometry.ratio(F.col("tp"), F.col("tp") + F.col("fn")), "recall"))
 
 

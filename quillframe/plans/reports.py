@@ -73,7 +73,7 @@ def oracle_vs_single_best(t: Tables) -> DataFrame:
 
 
 FINDINGS_SQL = f"""
-, {SUMMED_SQL}, s as (select 'lang=' || lang as tag, count(*) as k, sum(n_pairs) as np, sum(n_gt) as ng, sum(label_ok) as ok from facts group by lang union all select 'source=' || source, count(*), sum(n_pairs), sum(n_gt), sum(label_ok) from facts group by source),
+, {SUMMED_SQL}, s as (select 'lang=' || lang as tag, count(distinct doc_id) as k, sum(n_pairs) as np, sum(n_gt) as ng, sum(label_ok) as ok from facts group by lang union all select 'source=' || source, count(distinct doc_id), sum(n_pairs), sum(n_gt), sum(label_ok) from facts group by source),
 w as (select sum(n_pairs) / nullif(sum(n_gt), 0) as recall, sum(label_ok) / nullif(sum(n_pairs), 0) as acc from facts),
 d as (select tag, 'recall' as metric, np / nullif(ng, 0) - w.recall as diff from s, w where k >= 5 union all select tag, 'label_acc', ok / nullif(np, 0) - w.acc from s, w where k >= 5)
 select tag, metric, round(diff, 6) as diff from d where abs(diff) >= 0.005 order by abs(round(diff, 9)) desc, tag, metric limit 12"""
@@ -81,9 +81,11 @@ select tag, metric, round(diff, 6) as diff from d where abs(diff) >= 0.005 order
 
 @query(FINDINGS_SQL)
 def findings_topk(t: Tables) -> DataFrame:
-    """The twelve slices that differ most from the whole."""
+    """The twelve slices, of at least five cases, that differ most from the whole."""
     c = F.col
-    f = facts(t).select(F.explode(F.array(F.lit("all"), F.concat(F.lit("lang="), "lang"), F.concat(F.lit("source="), "source"))).alias("tag"), *COUNTS)
+    f = facts(t).select(F.explode(F.array(F.lit("all"), F.concat(F.lit("lang="), "lang"), F.concat(F.lit("source="), "source"))).alias("tag"), "doc_id", *COUNTS)
+    # By document first: a case counts once however many pages it has.
+    f = f.groupBy("tag", "doc_id").agg(*sums())
     s = f.groupBy("tag").agg(F.count("*").alias("k"), *sums())
     m = s.select("tag", "k", F.explode(F.array(F.struct(F.lit("recall").alias("metric"), ratio(c("n_pairs"), c("n_gt")).alias("value")), F.struct(F.lit("label_acc").alias("metric"), ratio(c("label_ok"), c("n_pairs")).alias("value")))).alias("m")).select("tag", "k", "m.*")
     whole = m.where("tag = 'all'").select("metric", c("value").alias("whole"))

@@ -18,20 +18,24 @@ def r6(c: Column, name: str) -> Column:
     return F.round(c, ROUND).alias(name)
 
 
-def pairs(t: Tables) -> DataFrame:
-    """Matched pairs with both sides' columns (g_, p_)."""
-    g = t.gt.select(*PAGE, F.col("ord").alias("j"), "lang", "source", *(F.col(c).alias(f"g_{c}") for c in ("label", "level", "text")))
-    p = t.pred.select(*PAGE, F.col("ord").alias("i"), *(F.col(c).alias(f"p_{c}") for c in ("label", "level", "text")))
-    return matching.match(t.pred, t.gt, PAGE).join(g, [*PAGE, "j"]).join(p, [*PAGE, "i"])
+def pages(t: Tables, *columns: str) -> DataFrame:
+    """Pages that have true elements, with both sides' elements and pairs."""
+    return matching.matched_pages(t.pred, t.gt, PAGE, ["lang", "source", *columns]).where(F.size("gs") > 0)
+
+
+def pairs(t: Tables, *columns: str) -> DataFrame:
+    """Matched pairs with both sides' columns (g_, p_), by default label, level and text."""
+    columns = columns or ("label", "level", "text")
+    x = pages(t, *columns).select(*PAGE, F.explode("pairs").alias("t"))
+    return x.select(*PAGE, "t.i", "t.j", "t.iou", "t.g.lang", "t.g.source", *(F.col(f"t.{side}.{c}").alias(f"{side}_{c}") for side in "gp" for c in columns))
 
 
 def facts(t: Tables) -> DataFrame:
-    """One row for each true element, prediction and pair, to be summed by any slice. Predictions on pages without truth don't count."""
-    zero = {c: F.lit(0) for c in ("n_gt", "n_pred", "n_pairs", "label_ok")}
-    seen = t.gt.select(*PAGE).distinct()
-    parts = [(t.gt, {"n_gt": F.lit(1)}, F.lit(0.0)), (t.pred.join(seen, PAGE, "left_semi"), {"n_pred": F.lit(1)}, F.lit(0.0)), (pairs(t), {"n_pairs": F.lit(1), "label_ok": (F.col("g_label") == F.col("p_label")).cast("int")}, F.col("iou"))]
-    out = [df.select("lang", "source", *(c.alias(n) for n, c in (zero | own).items()), iou.alias("iou_sum")) for df, own, iou in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    """One row for each page with true elements, to be summed by any slice. Predictions on other pages don't count."""
+    ok = F.filter("pairs", lambda x: x["g"]["label"] == x["p"]["label"])
+    total = F.aggregate("pairs", F.lit(0.0), lambda a, x: a + x["iou"])
+    counts = {"n_gt": F.size("gs"), "n_pred": F.size("ps"), "n_pairs": F.size("pairs"), "label_ok": F.size(ok), "iou_sum": total}
+    return pages(t, "label").select("doc_id", F.col("gs")[0]["lang"].alias("lang"), F.col("gs")[0]["source"].alias("source"), *(c.alias(n) for n, c in counts.items()))
 
 
 COUNTS = ("n_gt", "n_pred", "n_pairs", "label_ok", "iou_sum")
@@ -42,8 +46,8 @@ def sums() -> list[Column]:
 
 
 SUMMED_SQL = """
-facts as (select lang, source, 1 as n_gt, 0 as n_pred, 0 as n_pairs, 0 as label_ok, 0.0::double as iou_sum from gt union all select lang, source, 0, 1, 0, 0, 0.0 from pred
-  union all select lang, source, 0, 0, 1, case when g_label = p_label then 1 else 0 end, iou from pairs)
+facts as (select doc_id, lang, source, 1 as n_gt, 0 as n_pred, 0 as n_pairs, 0 as label_ok, 0.0::double as iou_sum from gt union all select doc_id, lang, source, 0, 1, 0, 0, 0.0 from pred
+  union all select doc_id, lang, source, 0, 0, 1, case when g_label = p_label then 1 else 0 end, iou from pairs)
 """
 RATIOS_SQL = """cast(sum(n_gt) as bigint) as n_gt, cast(sum(n_pred) as bigint) as n_pred, cast(sum(n_pairs) as bigint) as n_pairs,
   round(coalesce(sum(n_pairs) / nullif(sum(n_pred), 0), 0), 6) as precision, round(coalesce(sum(n_pairs) / nullif(sum(n_gt), 0), 0), 6) as recall,
@@ -80,7 +84,7 @@ def greedy_iou_match(t: Tables) -> DataFrame:
 @query("select x.label, " + ", ".join(f"count(*) filter (where p_label = '{x}') as \"{x}\"" for x in LABELS) + f" from (select unnest({list(LABELS)}) as label) x left join pairs on g_label = x.label group by x.label")
 def confusion_matrix(t: Tables) -> DataFrame:
     dim = t.spark.createDataFrame([(x,) for x in LABELS], "label string")
-    counted = pairs(t).groupBy(F.col("g_label").alias("label")).pivot("p_label", list(LABELS)).count()
+    counted = pairs(t, "label").groupBy(F.col("g_label").alias("label")).pivot("p_label", list(LABELS)).count()
     return F.broadcast(dim).join(counted, "label", "left").na.fill(0)
 
 
@@ -91,10 +95,10 @@ s as (select label, n_gt, n_pred, n_found / nullif(n_gt, 0) as found_rate, n_rig
 select label, cast(n_gt as bigint) as n_gt, cast(n_pred as bigint) as n_pred, round(found_rate, 6) as found_rate, round(recall, 6) as recall, round(precision, 6) as precision,
   round(case when recall is null then null when precision is null or precision + recall = 0 then 0 else 2 * precision * recall / (precision + recall) end, 6) as f1 from s""")
 def label_scores(t: Tables) -> DataFrame:
-    rows = t.gt.select("label", F.lit(1).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("f"), F.lit(0).alias("k"))
-    seen = t.gt.select(*PAGE).distinct()
-    rows = rows.unionByName(t.pred.join(seen, PAGE, "left_semi").select("label", F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(0).alias("f"), F.lit(0).alias("k")))
-    rows = rows.unionByName(pairs(t).select(F.col("g_label").alias("label"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("f"), (F.col("g_label") == F.col("p_label")).cast("int").alias("k")))
+    one = lambda e, a, b, f, k: F.struct(e["label"].alias("label"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(f).alias("f"), k.alias("k"))
+    none = F.lit(0)
+    each = F.concat(F.transform("gs", lambda e: one(e, 1, 0, 0, none)), F.transform("ps", lambda e: one(e, 0, 1, 0, none)), F.transform("pairs", lambda x: one(x["g"], 0, 0, 1, (x["g"]["label"] == x["p"]["label"]).cast("int"))))
+    rows = pages(t, "label").select(F.explode(each).alias("e")).select("e.*")
     n = rows.groupBy("label").agg(*(F.sum(x).alias(x) for x in "abfk"))
     c = F.col
     s = n.select("label", c("a").alias("n_gt"), c("b").alias("n_pred"), ratio(c("f"), c("a")).alias("found_rate"), ratio(c("k"), c("a")).alias("recall"), ratio(c("k"), c("b")).alias("precision"))
@@ -105,7 +109,7 @@ def label_scores(t: Tables) -> DataFrame:
 
 @query("select lang, count(*) as n, count(*) filter (where g_level = p_level) as n_right, round(count(*) filter (where g_level = p_level) / count(*), 6) as level_acc from pairs where g_label = 'heading' and p_label = 'heading' group by lang")
 def level_accuracy(t: Tables) -> DataFrame:
-    n = pairs(t).where("g_label = 'heading' and p_label = 'heading'").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("g_level") == F.col("p_level")).alias("n_right"))
+    n = pairs(t, "label", "level").where("g_label = 'heading' and p_label = 'heading'").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("g_level") == F.col("p_level")).alias("n_right"))
     return n.select("lang", "n", "n_right", r6(ratio(F.col("n_right"), F.col("n")), "level_acc"))
 
 
@@ -114,7 +118,7 @@ def level_accuracy(t: Tables) -> DataFrame:
 select a.lang, count(*) filter (where (a.p - b.p) * (a.g - b.g) > 0) as concordant, count(*) filter (where (a.p - b.p) * (a.g - b.g) <= 0) as discordant from x a join x b on a.doc_id = b.doc_id and a.page = b.page and a.g < b.g group by a.lang""")
 def order_concordance(t: Tables) -> DataFrame:
     """All pairs of a page's matched elements, as the measure is defined on them; a page has at most its own elements."""
-    x = pairs(t).select(*PAGE, "lang", F.col("j").alias("g"), ((F.col("i") * 7) % 23).alias("p"))
+    x = pairs(t, "label").select(*PAGE, "lang", F.col("j").alias("g"), ((F.col("i") * 7) % 23).alias("p"))
     b = x.select(*PAGE, F.col("g").alias("g2"), F.col("p").alias("p2"))
     sign = (F.col("p") - F.col("p2")) * (F.col("g") - F.col("g2"))
     return x.join(b, PAGE).where("g < g2").groupBy("lang").agg(F.count_if(sign > 0).alias("concordant"), F.count_if(sign <= 0).alias("discordant"))
@@ -126,7 +130,7 @@ n as (select label, count(*) filter (where g_label = label) as support, count(*)
 s as (select support, tp / greatest(n_pred, 1) as p, tp / greatest(support, 1) as r from n where support > 0)
 select count(*) as n_labels, round(avg(case when p + r > 0 then 2 * p * r / (p + r) else 0 end), 6) as macro_f1 from s""")
 def macro_f1(t: Tables) -> DataFrame:
-    by = pairs(t).select(F.explode(F.array(F.struct(F.col("g_label").alias("label"), F.lit(1).alias("s"), F.lit(0).alias("n"), (F.col("g_label") == F.col("p_label")).cast("int").alias("tp")), F.struct(F.col("p_label").alias("label"), F.lit(0).alias("s"), F.lit(1).alias("n"), F.lit(0).alias("tp")))).alias("side")).select("side.*")
+    by = pairs(t, "label").select(F.explode(F.array(F.struct(F.col("g_label").alias("label"), F.lit(1).alias("s"), F.lit(0).alias("n"), (F.col("g_label") == F.col("p_label")).cast("int").alias("tp")), F.struct(F.col("p_label").alias("label"), F.lit(0).alias("s"), F.lit(1).alias("n"), F.lit(0).alias("tp")))).alias("side")).select("side.*")
     n = by.groupBy("label").agg(*(F.sum(x).alias(x) for x in ("s", "n", "tp"))).where("s > 0")
     p, r = F.col("tp") / F.greatest("n", F.lit(1)), F.col("tp") / F.greatest("s", F.lit(1))
     return n.select(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1")).agg(F.count("*").alias("n_labels"), r6(F.avg("f1"), "macro_f1"))
@@ -188,7 +192,7 @@ def column_width_accuracy(t: Tables) -> DataFrame:
 @query()
 def micro_cer_by_lang(t: Tables) -> DataFrame:
     """Errors summed, then divided; tables don't count. SQL engines differ in what a character is; tests compare with a plain loop."""
-    x = pairs(t).where("g_label <> 'table'")
+    x = pairs(t, "label", "text").where("g_label <> 'table'")
     e = char_errors(F.col("g_text"), F.col("p_text"))
     n = x.groupBy("lang").agg(F.sum(e["errors"]).alias("errors"), F.sum(e["chars"]).alias("chars"))
     return n.select("lang", "errors", "chars", r6(ratio(F.col("errors"), F.col("chars")), "cer"))
@@ -198,5 +202,5 @@ def micro_cer_by_lang(t: Tables) -> DataFrame:
 def token_error_rate(t: Tables) -> DataFrame:
     """Edit distance over TeX tokens of matched formulas; tests compare with a plain loop."""
     e = token_errors(F.col("g_text"), F.col("p_text"))
-    n = pairs(t).where("g_label = 'math'").groupBy("lang").agg(F.sum(e["errors"]).alias("errors"), F.sum(e["tokens"]).alias("tokens"), F.avg((normalize_text(F.col("g_text")) == normalize_text(F.col("p_text"))).cast("int")).alias("exact"))
+    n = pairs(t, "label", "text").where("g_label = 'math'").groupBy("lang").agg(F.sum(e["errors"]).alias("errors"), F.sum(e["tokens"]).alias("tokens"), F.avg((normalize_text(F.col("g_text")) == normalize_text(F.col("p_text"))).cast("int")).alias("exact"))
     return n.select("lang", "errors", "tokens", r6(ratio(F.col("errors"), F.col("tokens")), "ter"), r6(F.col("exact"), "exact"))

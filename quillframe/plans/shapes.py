@@ -261,7 +261,7 @@ def decorated(text: Column, keep: int) -> Column:
 
 def matched_characters(df: DataFrame, true: str, found: str, name: str) -> DataFrame:
     """df with the number of characters in the longest common blocks of two texts, found by halves: Spark has no function for it."""
-    schema = df.schema.add(name, "long")
+    schema = ", ".join([f"`{c}` {kind}" for c, kind in df.dtypes] + [f"`{name}` long"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher
@@ -277,6 +277,8 @@ def matched_characters(df: DataFrame, true: str, found: str, name: str) -> DataF
 def decoration_scores(t: Tables) -> DataFrame:
     """Bold characters that both sides have, against those of each; tests compare with a plain loop."""
     x = t.gt.select("lang", decorated(F.col("text"), 3).alias("g"), decorated(F.col("text"), 4).alias("p"))
+    # The comparison takes far longer than reading: as many tasks as cores, whatever the files are cut into.
+    x = x.repartition(t.spark.sparkContext.defaultParallelism)
     n = matched_characters(x, "g", "p", "m").groupBy("lang").agg(F.sum("m").alias("matched"), F.sum(F.length("p")).alias("n_pred"), F.sum(F.length("g")).alias("n_gt"))
     p, r = ratio(F.col("matched"), F.col("n_pred")), ratio(F.col("matched"), F.col("n_gt"))
     f1 = F.when((F.col("n_pred") == 0) & (F.col("n_gt") == 0), None).otherwise(F.coalesce(F.try_divide(2 * F.coalesce(p, F.lit(0.0)) * F.coalesce(r, F.lit(0.0)), F.coalesce(p, F.lit(0.0)) + F.coalesce(r, F.lit(0.0))), F.lit(0.0)))
