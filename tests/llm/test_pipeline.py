@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__
 import corpus_pipeline
 from tests.llm.test_pii_decontaminate import slow_base, words
@@ -38,3 +41,20 @@ def test_stages_one_by_one(spark, small, tmp_path):
 def test_run_is_registered(spark, small):
     assert __spark_entry__.queries()["pipeline"](spark, small).count() > 0
     assert sum(n.startswith("op") and n[2].isdigit() for n in __spark_entry__.queries()) == 10
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty", "unlabelled"])
+def test_run_on_odd_tables(spark, small, odd, none, tmp_path, kind):
+    """Nulls, repeated rows and ids, very long texts, columns with clashing names, no rows, no labels: every stage ends, and its rows are of its predecessor's."""
+    docs = {"odd": odd, "empty": none, "unlabelled": odd.withColumn("lang", F.lit(None).cast("string"))}[kind]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{small}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert (len(rows) > 0) == (kind != "empty")
+    assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.collect()}
+    assert all(len(r["ids"]) == r["length"] <= 2048 for r in rows)
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for x in places.values():
+        assert [a for a, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:i]) for i in range(len(x))]
