@@ -212,3 +212,36 @@ def texts_outside_figures(t: Tables) -> DataFrame:
     """Texts that no table or figure, which reach 30 further down here, covers by half."""
     regions = t.gt.where("kind <> 'text'").withColumn("y1", F.col("y1") + 30)
     return matching.absorb(t.gt.where("kind = 'text'"), regions, PAGE, 0.5).select(*PAGE, "ord", F.md5(F.encode("text", "UTF-8")).alias("text"))
+
+
+def labelled_elements(t: Tables) -> DataFrame:
+    """The marked lines as elements: some of two lines, some without a label."""
+    g = t.gt.select("doc_id", "page", "ord", "kind", F.when(F.col("ord") % 37 != 11, F.when(F.col("ord") % 10 >= 7, F.when(F.col("ord") % 20 < 10, "list").otherwise("code")).otherwise(F.col("label"))).alias("label"), F.when(F.col("ord") % 13 == 2, F.col("level")).alias("level"), (F.col("size2") / 2).alias("size"), "x0", "x1")
+    m = t.marked.select("doc_id", "ord", F.when(F.col("ord") % 9 == 4, F.concat("text", F.lit("\n  "), "text")).otherwise(F.col("text")).alias("text"))
+    return g.join(m, ["doc_id", "ord"])
+
+
+@query()
+def document_blocks(t: Tables) -> DataFrame:
+    """Elements as the blocks of documents; tests compare with a plain loop."""
+    from quillframe.operators.blocks import to_blocks
+
+    return to_blocks(labelled_elements(t))
+
+
+@query("""
+, c as (select t, list([a, b, c] order by r, a, b, c) as cells, count(*) as n from table_rows group by t)
+select t, cast(n as bigint) as n_rows, cast(case when t % 3 = 0 then 3 else 2 end as bigint) as n_columns, md5(array_to_string(list_transform(cells, lambda x: case when t % 3 = 0 then x[1] || '|' || x[2] || '|' || x[3] else x[1] || '|' || x[2] end), '/')) as rows,
+  case when t % 3 = 0 then 'lcr' else 'll' end as aligns, case when t % 2 = 0 and n = 3 then 'false,true,true,false' else array_to_string(list_transform(range(n + 1), lambda i: case when i = 0 or i = n then 'true' else 'false' end), ',') end as row_rules from c""")
+def table_blocks(t: Tables) -> DataFrame:
+    """Tables of order lines: alignments fit those of three columns, row rules those of three rows."""
+    from quillframe.operators.blocks import table_block
+
+    width = F.when(F.col("t") % 3 == 0, 3).otherwise(2)
+    x = t.table_rows.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.array("a", "b", "c").alias("x")))), lambda y: y["x"]).alias("cells"))
+    cells = F.transform("cells", lambda r: F.slice(r, F.lit(1), width))
+    rules = F.when(F.col("t") % 2 == 0, F.array(*(F.lit(v) for v in (False, True, True, False))))
+    b = table_block(cells, F.array(F.lit("l"), F.lit("c"), F.lit("r")), F.lit(None).cast("array<boolean>"), rules, F.lit(None).cast("array<double>"), F.lit(0.0), F.lit(1.0))
+    x = x.select("t", b.alias("b"))
+    joined = F.array_join(F.transform("b.rows", lambda r: F.array_join(r, "|")), "/")
+    return x.select("t", F.size("b.rows").cast("long").alias("n_rows"), F.size("b.aligns").cast("long").alias("n_columns"), F.md5(F.encode(joined, "UTF-8")).alias("rows"), F.array_join("b.aligns", "").alias("aligns"), F.array_join(F.transform("b.row_rules", lambda v: v.cast("string")), ",").alias("row_rules"))

@@ -173,3 +173,90 @@ def test_captions_by_gap_match_a_plain_loop(spark):
                 want.add((p, t[1], min(near)[1]))
     got = {tuple(r) for r in matching.captions_by_gap(spark.createDataFrame(targets, boxes), spark.createDataFrame(texts, boxes + ", text string"), ["page"], 10.0).collect()}
     assert got == want and len(got) > 20
+
+
+def slow_blocks(rows):
+    """The blocks of one document by a loop over its elements in order."""
+    import re
+
+    space = r"[\s\x1c-\x1f]"
+    marks = {"paren": r"[(（]\d+[)）]", "number": r"\d+[.．)）]", "dot": r"・", "bullet": r"[•●◦▪*]", "dash": rf"[-–—−‐](?={space})"}
+
+    def joined(text):
+        out = ""
+        for line in (x.strip() for x in text.split("\n")):
+            if out and line and re.fullmatch("[A-Za-z0-9]", out[-1]) and re.fullmatch("[A-Za-z0-9]", line[0]):
+                out += " "
+            out += line
+        return out
+
+    def bare(text, pattern):
+        left = re.sub(pattern, "", text, count=1)
+        return left if left.strip() else text
+
+    def mark(line):
+        return next(((k, m.end()) for k, p in marks.items() if (m := re.match(p, line))), None)
+
+    rows = [dict(r.asDict(), label=r["label"] or ("paragraph" if r["kind"] == "text" else r["kind"])) for r in sorted(rows, key=lambda r: (r["page"], r["ord"]))]
+    texts = [r for r in rows if r["kind"] == "text" and r["label"] != "other"]
+    left, right = min((r["x0"] for r in texts), default=0), max((r["x1"] for r in texts), default=1)
+    sizes = sorted({round(r["size"] * 2) / 2 for r in rows if r["label"] == "heading"}, reverse=True)
+    captions, used = {}, set()
+    for i, r in enumerate(rows):
+        if r["label"] == "caption":
+            near = [i - 1, i + 1]
+            for j in near[::-1] if re.match(rf"(表|Table){space}*\d", joined(r["text"])) else near:
+                if 0 <= j < len(rows) and rows[j]["page"] == r["page"] and rows[j]["label"] in ("table", "figure") and j not in captions:
+                    captions[j] = bare(joined(r["text"]), rf"^(?:図|表|Figure|Fig\.|Table){space}*\d+(?:[.\-]\d+)*(?:{space}*[:：.．]{space}*|{space}+)")
+                    used.add(i)
+                    break
+    out, i = [], 0
+    while i < len(rows):
+        r, label = rows[i], rows[i]["label"]
+        if label in ("list", "code"):
+            part = []
+            while i < len(rows) and rows[i]["label"] == label:
+                part.append(rows[i]["text"])
+                i += 1
+            if label == "code":
+                out.append(("code", None, "\n".join(x.rstrip("\n") for x in part), None, None, None, None))
+                continue
+            kind, items = None, []
+            for text in part:
+                lines = [x.strip() for x in text.split("\n") if x.strip()]
+                some = any(map(mark, lines))
+                for k, line in enumerate(lines):
+                    if m := mark(line):
+                        kind = kind or m[0]
+                        items.append(line[m[1] :].strip())
+                    elif items and (some or k):
+                        items[-1] += "\n" + line
+                    else:
+                        items.append(line)
+            out.append(("list", None, None, kind or "dot", [joined(x) for x in items], None, None))
+            continue
+        if label == "heading":
+            level = r["level"] or min(3, sizes.index(round(r["size"] * 2) / 2) + 1)
+            out.append(("heading", level, bare(joined(r["text"]), rf"^\d{{1,2}}(?:\.\d{{1,2}})*(?:\.?{space}+(?![年月日時分秒章節項回位点人個件円倍])|\.(?=[^\d\s]))"), None, None, None, None))
+        elif label == "math":
+            out.append(("math", None, r["text"].strip(), None, None, None, None))
+        elif label == "table":
+            out.append(("table", None, None, None, None, captions.get(i), None))
+        elif label == "figure":
+            out.append(("image", None, None, None, None, captions.get(i), round(min(1.0, max(0.05, (r["x1"] - r["x0"]) / (right - left))), 3) if right > left else 1.0))
+        elif (label == "paragraph" or label == "caption" and i not in used) and joined(r["text"]):
+            out.append(("paragraph", None, joined(r["text"]), None, None, None, None))
+        i += 1
+    own = {k: [joined(r["text"]) for r in rows if r["label"] == k] for k in ("title", "author", "date")}
+    if any(own.values()):
+        out.insert(0, ("title", None, joined("\n".join(own["title"])), None, [" ".join(own["author"]), " ".join(own["date"])], None, None))
+    return out
+
+
+def test_document_blocks_match_a_plain_loop(spark):
+    docs = defaultdict(list)
+    for r in elements.labelled_elements(Tables(spark, SMALL)).collect():
+        docs[r["doc_id"]].append(r)
+    want = {(d, k, repr(b)) for d, rows in docs.items() for k, b in enumerate(slow_blocks(rows))}
+    got = {(r["doc_id"], r["place"], repr(tuple(r)[2:])) for r in registry.queries()["document_blocks"](spark, SMALL).collect()}
+    assert got == want
