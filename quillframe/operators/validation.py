@@ -20,15 +20,20 @@ def element_problems() -> Column:
     return messages(
         {
             "kind is unknown": ~c("kind").isin("text", "table", "figure"),
-            "box is inverted": ~((c("x0") <= c("x1")) & (c("y0") <= c("y1"))),
+            "box is empty or inverted": (c("x0") >= c("x1")) | (c("y0") >= c("y1")),
             "text is missing": (c("kind") == "text") & c("text").isNull(),
             "label is unknown": ~c("label").isin(*LABELS),
-            "level without a heading": c("level").isNotNull() & (c("label") != "heading"),
-            "level is out of range": ~c("level").between(1, 3),
+            "level without a heading": c("level").isNotNull() & ~c("label").eqNullSafe(F.lit("heading")),
+            "level is out of range": (c("label") == "heading") & ~c("level").between(1, 3),
         }
     )
 
 
+def share_problems(box: Column) -> Column:
+    """Of a box given as shares of the page: another number than four, and values beyond the page."""
+    return messages({"box has not four numbers": F.size(box) != 4, "box is beyond the page": (F.size(box) == 4) & F.exists(box, lambda v: (v < 0) | (v > 1))})
+
+
 def run_problems(text: Column, runs: Column) -> Column:
     """runs: array of (text, bold, italic, underline, tex) structs."""
     return messages(

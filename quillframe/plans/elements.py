@@ -245,3 +245,46 @@ def table_blocks(t: Tables) -> DataFrame:
     x = x.select("t", b.alias("b"))
     joined = F.array_join(F.transform("b.rows", lambda r: F.array_join(r, "|")), "/")
     return x.select("t", F.size("b.rows").cast("long").alias("n_rows"), F.size("b.aligns").cast("long").alias("n_columns"), F.md5(F.encode(joined, "UTF-8")).alias("rows"), F.array_join("b.aligns", "").alias("aligns"), F.array_join(F.transform("b.row_rules", lambda v: v.cast("string")), ",").alias("row_rules"))
+
+
+@query("""
+, d as (select distinct doc_id from gt), p as (select distinct doc_id, page from gt), m as (
+  select doc_id, 'version is unknown' as problem from d where doc_id % 7 = 1 union all select distinct doc_id, 'pages are not numbered from 1' from p where doc_id % 11 = 2
+  union all select doc_id, 'pages are not numbered from 1' from p where doc_id % 11 <> 2 group by doc_id having max(page) <> count(*)
+  union all select distinct doc_id, 'a page has no size' from p where doc_id % 13 = 3 union all select distinct doc_id, 'a unit is unknown' from p where doc_id % 17 = 4)
+select problem, count(*) as n from m group by problem""")
+def document_validation(t: Tables) -> DataFrame:
+    """Problems of whole documents, some of which have faults planted."""
+    from quillframe.operators.validation import document_problems
+
+    doc = F.col("source").cast("long")
+    d = as_documents(t)
+    broken = lambda p: F.struct((p["page"] + F.when(doc % 11 == 2, 1).otherwise(0)).alias("page"), F.when(doc % 13 == 3, 0.0).otherwise(p["width"]).alias("width"), p["height"].alias("height"), F.when(doc % 17 == 4, "in").otherwise(p["unit"]).alias("unit"))
+    d = d.select(F.when(doc % 7 == 1, 9).otherwise(F.col("ir_version")).alias("v"), F.transform("pages", broken).alias("p"))
+    return d.select(F.explode(document_problems(F.col("v"), F.col("p"))).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("""
+, r as (select doc_id, ord, text, ord % 5 = 1 as empty, ord % 7 = 2 as blank, ord % 11 = 3 as other from lines), m as (select 'a run is empty' as problem from r where empty union all select 'a run''s TeX is blank' from r where blank union all select 'runs differ from the text' from r where other)
+select problem, count(*) as n from m group by problem""")
+def run_validation(t: Tables) -> DataFrame:
+    """Lines in two runs, some empty, with blank TeX or of another text."""
+    from quillframe.operators.validation import run_problems
+
+    o = F.col("ord")
+    run = lambda text, tex: F.struct(text.alias("text"), tex.alias("tex"))
+    none = F.lit(None).cast("string")
+    runs = F.concat(F.array(run(F.col("text"), F.when(o % 7 == 2, " "))), F.when(o % 5 == 1, F.array(run(F.lit(""), none))).otherwise(F.array().cast("array<struct<text:string,tex:string>>")), F.when(o % 11 == 3, F.array(run(F.lit("!"), none))).otherwise(F.array().cast("array<struct<text:string,tex:string>>")))
+    return t.lines.select(F.explode(run_problems(F.col("text"), runs)).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("""
+, f as (select doc_id, unnest(regexp_extract_all(text, '[^\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]')) as x, ord from lines where ord % 4 = 0)
+select doc_id, count(*) as n from f group by doc_id""")
+def formula_letters(t: Tables) -> DataFrame:
+    """Tokens of lines whose letters are all tokens of their own, as formulas' are, made TeX and cut up again."""
+    tokens = F.regexp_extract_all("text", F.lit(r"(?U)([^\s\x1c-\x1f])"), F.lit(1))
+    # A backslash would take in the letter after it: it is doubled, and counted once.
+    safe = F.transform(tokens, lambda x: F.when(x == "\\", F.lit("\\\\")).otherwise(x))
+    again = text.tex_tokens(text.detokenize(safe))
+    return t.lines.where("ord % 4 = 0").select("doc_id", F.size(again).alias("k")).groupBy("doc_id").agg(F.sum("k").alias("n")).where("n > 0")

@@ -181,9 +181,9 @@ FAULTY = "doc_id, ord, case when ord % 23 = 1 then 'text box' else kind end as k
 
 @query(f"""
 , e as (select {FAULTY} from gt),
-m as (select case when kind not in ('text', 'table', 'figure') then 'kind is unknown' end as m from e union all select case when not (x0 <= x1 and y0 <= y1) then 'box is inverted' end from e
+m as (select case when kind not in ('text', 'table', 'figure') then 'kind is unknown' end as m from e union all select case when x0 >= x1 or y0 >= y1 then 'box is empty or inverted' end from e
   union all select case when kind = 'text' and text is null then 'text is missing' end from e union all select case when label not in ('heading', 'paragraph', 'list', 'math', 'caption', 'table', 'figure', 'other', 'code', 'title', 'author', 'date') then 'label is unknown' end from e
-  union all select case when level is not null and label <> 'heading' then 'level without a heading' end from e union all select case when level not between 1 and 3 then 'level is out of range' end from e)
+  union all select case when level is not null and label <> 'heading' then 'level without a heading' end from e union all select case when label = 'heading' and level not between 1 and 3 then 'level is out of range' end from e)
 select m as problem, count(*) as n from m where m is not null group by m""")
 def validation_problems(t: Tables) -> DataFrame:
     from quillframe.operators.validation import element_problems

@@ -96,10 +96,24 @@ def test_boxes_merge_until_none_are_near():
 
 def test_problems(spark):
     e = spark.createDataFrame([("text", 0, 0, 1, 1, "a", "heading", 2), ("box", 2, 0, 1, 1, None, "verse", 5)], "kind string, x0 int, y0 int, x1 int, y1 int, text string, label string, level int")
-    assert [len(r[0]) for r in e.select(element_problems()).collect()] == [0, 5]
+    assert [len(r[0]) for r in e.select(element_problems()).collect()] == [0, 4]
     d = spark.sql("select 4 v, array(named_struct('page', 1, 'width', 1.0, 'height', 1.0, 'unit', 'pt')) p union all select 9, array(named_struct('page', 2, 'width', 0.0, 'height', 1.0, 'unit', 'in'))")
     assert sorted(len(r[0]) for r in d.select(document_problems(F.col("v"), F.col("p"))).collect()) == [0, 4]
     r = spark.sql("select 'ab' t, array(named_struct('text', 'a', 'tex', cast(null as string)), named_struct('text', 'b', 'tex', 'x')) r union all select 'ab', array(named_struct('text', '', 'tex', ' '))")
     assert sorted(len(x[0]) for x in r.select(run_problems(F.col("t"), F.col("r"))).collect()) == [0, 3]
     t = spark.sql("select array(array('a', 'b'), array('c')) c, array('l', 'c') a, array(true, true, true) k, array(true, true, true) r, array(0.5D, null) w union all select array(array('a')), array('x', 'l'), array(true), array(true), array(2.0D)")
     assert sorted(len(x[0]) for x in t.select(table_problems(*(F.col(c) for c in "cakrw"))).collect()) == [0, 5]
+
+
+def test_formulas_in_one_form(spark):
+    cases = {
+        r"x_i^2 \le y": r"x _ { i } ^ { 2 } \leq y",
+        r"a \, & \quad b^{n}": r"a b ^ { n }",
+        r"x^^y_": r"x ^ { ^ } y _",
+        r"\ne\rightarrow": r"\neq \to",
+        "": "",
+    }
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "i int, t string")
+    rows = df.select("i", F.array_join(text.normal_tokens(text.tex_tokens(F.col("t"))), " ").alias("n"), text.detokenize(text.tex_tokens(F.col("t"))).alias("d")).orderBy("i").collect()
+    assert [r["n"] for r in rows] == list(cases.values())
+    assert [r["d"] for r in rows] == [r"x_i^2\le y", r"a\,&\quad b^{n}", "x^^y_", r"\ne\rightarrow", ""]
