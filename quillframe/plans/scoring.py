@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions.geometry import ratio, ratio_or_zero
 from quillframe.functions.tables import same_places, widths_right
-from quillframe.functions.text import LABELS, char_errors, indent_width, normalize_text, token_errors
+from quillframe.functions.text import LABELS, ascii_part, char_errors, edit_distance, indent_width, normalize_text, token_errors
 from quillframe.operators import matching
 from quillframe.plans.tables import PAGE, Tables, query
 
@@ -204,3 +204,35 @@ def token_error_rate(t: Tables) -> DataFrame:
     e = token_errors(F.col("g_text"), F.col("p_text"))
     n = pairs(t, "label", "text").where("g_label = 'math'").groupBy("lang").agg(F.sum(e["errors"]).alias("errors"), F.sum(e["tokens"]).alias("tokens"), F.avg((normalize_text(F.col("g_text")) == normalize_text(F.col("p_text"))).cast("int")).alias("exact"))
     return n.select("lang", "errors", "tokens", r6(ratio(F.col("errors"), F.col("tokens")), "ter"), r6(F.col("exact"), "exact"))
+
+
+PLAIN_SQL = "regexp_replace(coalesce({0}, ''), '[^\\x21-\\x7E]', '', 'g')"
+
+
+@query(f"""
+, n as (select lang, count(*) as n_gt from gt group by lang), m as (select lang, count(*) as n_pred from pred where (doc_id, page) in (select doc_id, page from gt) group by lang),
+o as (select a.lang, count(*) filter (where (a.i - b.i) * (a.j - b.j) > 0) as c, count(*) as k from pairs a join pairs b on a.doc_id = b.doc_id and a.page = b.page and a.j < b.j group by a.lang),
+x as (select *, {PLAIN_SQL.format("g_text")} as g, {PLAIN_SQL.format("p_text")} as p from pairs),
+e as (select lang, count(*) as n_pairs, sum(iou) as iou, count(*) filter (where g_label = p_label) as ok, count(*) filter (where g_label = 'heading' and p_label = 'heading' and g_level = p_level) as lv, count(*) filter (where g_label = 'heading' and p_label = 'heading' and g_level is not null and p_level is not null) as ln,
+  sum(levenshtein(g, p)) filter (where g_label <> 'table') as err, sum(length(g)) filter (where g_label <> 'table') as ch from x group by lang)
+select lang, round(n_pairs / n_pred, 6) as precision, round(n_pairs / n_gt, 6) as recall, round(2 * n_pairs / (n_pred + n_gt), 6) as f1, round(iou / n_pairs, 6) as miou, round(ok / n_pairs, 6) as label_acc, round(lv / nullif(ln, 0), 6) as level_acc,
+  round(c / nullif(k, 0), 6) as order_acc, round(err / nullif(ch, 0), 6) as cer_en from e join n using (lang) join m using (lang) left join o using (lang)""")
+def summary_by_lang(t: Tables) -> DataFrame:
+    """One row of ratios for each slice, from counts that are summed page by page; null where nothing could be counted."""
+    size = lambda keep: F.size(F.filter("pairs", keep))
+    heading = lambda x: (x["g"]["label"] == "heading") & (x["p"]["label"] == "heading")
+    total = lambda of: F.aggregate("pairs", F.lit(0).cast("long"), lambda a, x: a + of(x).cast("long"))
+    plain = lambda c: ascii_part(normalize_text(F.coalesce(c, F.lit(""))))
+    seen = lambda x, n: F.when(x["g"]["label"] == "table", 0).otherwise(n)
+    alike = total(lambda x: F.size(F.filter("pairs", lambda y: (x["i"] - y["i"]) * (x["j"] - y["j"]) > 0)))
+    counts = {
+        "n_gt": F.size("gs"), "n_pred": F.size("ps"), "n_pairs": F.size("pairs"), "iou": F.aggregate("pairs", F.lit(0.0), lambda a, x: a + x["iou"]),
+        "ok": size(lambda x: x["g"]["label"] == x["p"]["label"]), "level_ok": size(lambda x: heading(x) & (x["g"]["level"] == x["p"]["level"])), "level_n": size(lambda x: heading(x) & x["g"]["level"].isNotNull() & x["p"]["level"].isNotNull()),
+        # Each pair of pairs is met from both sides.
+        "alike": alike / 2, "order_n": F.size("pairs") * (F.size("pairs") - 1) / 2,
+        "errors": total(lambda x: seen(x, edit_distance(plain(x["g"]["text"]), plain(x["p"]["text"])))), "chars": total(lambda x: seen(x, F.length(plain(x["g"]["text"])))),
+    }
+    n = pages(t, "label", "level", "text").select(F.col("gs")[0]["lang"].alias("lang"), *(c.alias(k) for k, c in counts.items())).groupBy("lang").agg(*(F.sum(k).alias(k) for k in counts))
+    c = F.col
+    shares = {"precision": ratio_or_zero(c("n_pairs"), c("n_pred")), "recall": ratio_or_zero(c("n_pairs"), c("n_gt")), "f1": ratio_or_zero(2 * c("n_pairs"), c("n_pred") + c("n_gt")), "miou": ratio(c("iou"), c("n_pairs")), "label_acc": ratio(c("ok"), c("n_pairs")), "level_acc": ratio(c("level_ok"), c("level_n")), "order_acc": ratio(c("alike"), c("order_n")), "cer_en": ratio(c("errors"), c("chars"))}
+    return n.select("lang", *(r6(v, k) for k, v in shares.items()))
