@@ -32,4 +32,25 @@ select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hi
 from d left join hit_words using (n) left join items using (n)
 """
 
-ORACLES = {"op6_url_filter": URLS, "op7_hamming_top_k": TOP_K, "op10_decontamination": LEAKS}
+ESCAPED = "length({0}) + length({0}) - length(replace({0}, '\\', '')) + (length({0}) - length(replace({0}, '<turn>', ''))) // 6 + (length({0}) - length(replace({0}, '</turn>', ''))) // 7"
+CHATS = rf"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(15 + {ESCAPED.format("role")} + length(role) - length(replace(role, chr(10), '')) + {ESCAPED.format("text")}) as bigint) as formatted_chars
+from t group by conv_id
+"""
+
+PAGES = """
+with d as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as hex from pages),
+f as (select *, min(page_id) over (partition by hex) as first from d)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(hex, 5 * (i // 4) + 1, 5) as integer) >> cast(15 - 5 * (i % 4) as integer)) & 31), 1)), '') as payload_digest,
+  case when first is null or page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from first then first end as refers_to
+from f
+"""
+
+ORACLES = {"op5_chat_formatting": CHATS, "op8_warc": PAGES, "op6_url_filter": URLS, "op7_hamming_top_k": TOP_K, "op10_decontamination": LEAKS}
