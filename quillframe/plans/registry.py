@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.plans import elements, joins, layouts, reports, scoring, shapes, texts  # noqa: F401
+from quillframe.plans import composites, elements, joins, layouts, reports, scoring, shapes, texts  # noqa: F401
 from quillframe.plans.tables import ORACLES, QUERIES
 
 

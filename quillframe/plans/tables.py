@@ -82,7 +82,10 @@ class Tables:
         return d.selectExpr("doc_id", "coalesce(lang, 'none') as lang", "coalesce(source, 'none') as source", "posexplode(split(text, '\\n', -1)) as (ord, text)").where("text <> ''")
 
     def view(self, name: str, **of: DataFrame) -> DataFrame:
-        return self.spark.sql(SHARED[name], **of)
+        return self.view_of(SHARED[name], **of)
+
+    def view_of(self, sql: str, **of: DataFrame) -> DataFrame:
+        return self.spark.sql(sql, **of)
 
     @cached_property
     def gt(self) -> DataFrame:
