@@ -162,3 +162,81 @@ def page_char_errors(found: DataFrame, truth: DataFrame, page: list[str], exclud
     extra = placed.where("container is null").groupBy(*page).agg(F.sum(F.length(normalize_text(F.col("text")))).alias("extra_chars"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return right.join(extra, page, "full").select(*page, (zero("errors") + zero("extra_chars")).alias("errors"), zero("chars").alias("chars"), zero("extra_chars").alias("extra_chars"))
+
+
+def reindented(chars: DataFrame, block: list[str]) -> DataFrame:
+    """(block, text) of code from its characters (row, i, c, x0, x1, size): rows begin with as many blanks as their indent has widths of a character, small line numbers go, rows without anything visible too.
+
+    A width is the median step between visible neighbours of a row, or of the
+    characters themselves if there is none.
+    """
+    row = [*block, "row"]
+    blank, digit = F.col("c").rlike(r"(?U)^\s$"), F.col("c").rlike(r"(?U)^\d$")
+    d = chars.withColumn("blank", blank).withColumn("big", F.coalesce(F.max(F.when(~blank & ~digit, F.col("size"))).over(Window.partitionBy(*row)), F.lit(0)))
+    number = F.col("blank") | (digit & (F.col("size") < 0.85 * F.col("big")))
+    d = d.withColumn("first", F.min(F.when(~number, F.col("i"))).over(Window.partitionBy(*row))).where("i >= first")
+    before = Window.partitionBy(*row).orderBy("i")
+    step = F.when(~F.lag("blank").over(before) & ~F.col("blank") & (F.col("x0") > F.lag("x0").over(before)), F.col("x0") - F.lag("x0").over(before))
+    d = d.withColumn("step", step)
+    rows = d.groupBy(*row).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]), "").alias("shown"), F.min_by("x0", "i").alias("x0"))
+    sizes = d.groupBy(*block).agg(F.coalesce(F.median("step"), F.median(F.when(~F.col("blank"), F.col("x1") - F.col("x0")))).alias("width"))
+    lefts = rows.groupBy(*block).agg(F.min("x0").alias("left"))
+    indent = F.bround((F.col("x0") - F.col("left")) / F.when(F.col("width") > 0, F.col("width")).otherwise(1.0), 0).cast("int")
+    line = F.concat(F.repeat(F.lit(" "), indent), "shown")
+    out = rows.join(sizes, block).join(lefts, block).select(*block, F.struct("row", line.alias("line")).alias("e"))
+    return out.groupBy(*block).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["line"]), "\n").alias("text"))
+
+
+ROW = "struct<ord:bigint,kind:string,x0:double,y0:double,x1:double,y1:double,size:double,font:string,baseline:double,col:int,tiny:boolean,head:boolean,indented:boolean>"
+GROUP = f"struct<kind:string,x0:double,y0:double,x1:double,y1:double,left:double,col:int,last:{ROW},ords:array<bigint>>"
+# Fixed values, in sizes of characters.
+LINE_GAP, LIST_GAP, MATH_GAP, CODE_PITCH, SIZE_SHARE, INDENT = 0.8, 1.3, 1.2, 1.8, 1.15, 0.5
+
+
+def row_groups(df: DataFrame, page: list[str], gaps: tuple[float, float, float] = (LINE_GAP, LIST_GAP, MATH_GAP), pitch: float = CODE_PITCH, indent: float = INDENT) -> DataFrame:
+    """(page, ord, block) of rows in reading order, each of which goes on the block before it or begins one.
+
+    df has ord, kind (text, math or code), a box, size, font, baseline, tiny (a
+    scrap of a formula), head (begins with a list's mark), indented (from its
+    column's margin), col (1 or 2 of two columns, else 0) and the page's body size. What a block is is told by its
+    first row. All need a box beside the block's and a gap that is small for
+    their size: formulas take formulas and scraps; code takes code, by gap or by
+    pitch of baselines; lists take items and what is indented beyond their mark;
+    text takes rows of its size and font that are not indented.
+    """
+    line_gap, list_gap, math_gap = gaps
+    numbers = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "size")]
+    row = F.struct(F.col("ord").cast("bigint").alias("ord"), "kind", *numbers, F.coalesce("font", F.lit("")).alias("font"), F.col("baseline").cast("double").alias("baseline"), F.col("col").cast("int").alias("col"), "tiny", "head", "indented")
+    pages = df.groupBy(*page).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max(F.col("body").cast("double")).alias("body"))
+    body = F.col("body")
+
+    def goes_on(g: Column, r: Column) -> Column:
+        p, math = g["last"], g["kind"] == "math"
+        gap = r["y0"] - p["y1"]
+        reach = F.when(math, 3 * body).otherwise(0.0)
+        beside = (r["x0"] < g["x1"] + reach) & (r["x1"] > g["x0"] - reach)
+        unit = F.greatest(body, p["size"], r["size"])
+        alike = (F.greatest(r["size"], p["size"]) <= SIZE_SHARE * F.least(r["size"], p["size"])) & ((r["font"] == p["font"]) | (r["font"] == "") | (p["font"] == ""))
+        step = r["baseline"] - p["baseline"]
+        code = (r["kind"] == "code") & ((gap <= line_gap * unit) | ((step > 0) & (step <= pitch * F.greatest(r["size"], p["size"]))))
+        item = alike & (gap <= F.when(r["head"], list_gap).otherwise(line_gap) * unit) & (r["head"] | (r["x0"] > g["left"] + 0.3 * body))
+        text = alike & (gap <= line_gap * unit) & ~r["head"] & ~r["indented"] & (r["x0"] <= g["x0"] + indent * body)
+        plain = r["kind"] == "text"
+        of_kind = F.when(math, (gap >= -2 * body) & (gap <= math_gap * body) & ((r["kind"] == "math") | r["tiny"])).when(gap < -0.5 * body, False).when(g["kind"] == "code", code).when(g["kind"] == "list", plain & item).otherwise(plain & text)
+        across = (g["col"] + r["col"] == 3) & (g["col"] != 0) & (r["col"] != 0)
+        return beside & ~across & of_kind
+
+    def begun(r: Column) -> Column:
+        kind = F.when((r["kind"] == "text") & r["head"], "list").otherwise(r["kind"])
+        return F.struct(kind.alias("kind"), *(r[c].alias(c) for c in ("x0", "y0", "x1", "y1")), r["x0"].alias("left"), r["col"].alias("col"), r.alias("last"), F.array(r["ord"]).alias("ords"))
+
+    def grown(g: Column, r: Column) -> Column:
+        ends = [f(g[c], r[c]).alias(c) for c, f in (("x0", F.least), ("y0", F.least), ("x1", F.greatest), ("y1", F.greatest))]
+        return F.struct(g["kind"].alias("kind"), *ends, g["left"].alias("left"), F.when(g["col"] == r["col"], g["col"]).otherwise(0).alias("col"), r.alias("last"), F.concat(g["ords"], F.array(r["ord"])).alias("ords"))
+
+    def step(acc: Column, r: Column) -> Column:
+        g = F.get(acc, F.size(acc) - 1)
+        return F.when(F.coalesce(goes_on(g, r), F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown(g, r)))).otherwise(F.concat(acc, F.array(begun(r))))
+
+    groups = pages.select(*page, F.posexplode(F.aggregate("rows", F.array().cast(f"array<{GROUP}>"), step)).alias("block", "g"))
+    return groups.select(*page, "block", F.explode("g.ords").alias("ord"))

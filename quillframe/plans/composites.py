@@ -104,3 +104,44 @@ def page_char_errors(t: Tables) -> DataFrame:
 def found_elements(t: Tables) -> DataFrame:
     """Found elements of which some have two lines."""
     return t.pred.withColumn("text", F.when(F.col("ord") % 5 == 0, F.concat(F.lit("\n"), F.substring("text", 1, 9), F.lit("\n \n"), F.col("text"))).otherwise(F.col("text")))
+
+
+CODE = """, g as (select doc_id, ord // 4 as block, ord % 4 as row, i, c, 100 + ord % 3 * 11 + i * case when i % 4 = 3 then 7 else 6 end as x0, case when i < ord % 3 then 6 else 10 end as size from glyphs),
+h as (select doc_id, block, row, i, case when i < ord3 then cast(i % 10 as varchar) when i = ord3 then ' ' else c end as c, x0, x0 + 5 as x1, size from (select *, cast((row + block) % 3 as int) as ord3 from g))"""
+
+
+@query(GLYPHS_SQL + CODE + """
+, f as (select *, c = ' ' as blank, max(case when c <> ' ' and not regexp_matches(c, '[0-9]') then size end) over (partition by doc_id, block, row) as big from h),
+n as (select *, c = ' ' or (regexp_matches(c, '[0-9]') and size * 100 < 85 * coalesce(big, 0)) as number from f), k as (select *, min(case when not number then i end) over (partition by doc_id, block, row) as first from n), d as (select * from k where i >= first),
+s as (select *, case when not blank and not lag(blank) over w and x0 > lag(x0) over w then x0 - lag(x0) over w end as step from d window w as (partition by doc_id, block, row order by i)),
+r as (select doc_id, block, row, string_agg(c, '' order by i) as shown, arg_min(x0, i) as x0 from s group by doc_id, block, row),
+b as (select doc_id, block, coalesce(median(step), median(case when not blank then x1 - x0 end)) as width from s group by doc_id, block), l as (select doc_id, block, min(x0) as left_x from r group by doc_id, block)
+select doc_id, block, string_agg(repeat(' ', cast(round_even((x0 - left_x) / width, 0) as int)) || shown, chr(10) order by row) as text from r join b using (doc_id, block) join l using (doc_id, block) group by doc_id, block""")
+def reindented_code(t: Tables) -> DataFrame:
+    """Blocks of four lines as code: their indents from where characters lie, without the small numbers some lines begin with."""
+    return composites.reindented(code_chars(t), ["doc_id", "block"])
+
+
+def code_chars(t: Tables) -> DataFrame:
+    """The characters of lines, four to a block, of which some begin with small digits and a blank."""
+    o, i = F.col("ord"), F.col("i")
+    g = glyphs(t).select("doc_id", F.floor(o / 4).alias("block"), (o % 4).alias("row"), "i", "c", (100 + o % 3 * 11 + i * F.when(i % 4 == 3, 7).otherwise(6)).alias("x0"), F.when(i < o % 3, 6).otherwise(10).alias("size"))
+    most = (F.col("row") + F.col("block")) % 3
+    return g.withColumn("c", F.when(i < most, (i % 10).cast("string")).when(i == most, " ").otherwise(F.col("c"))).withColumn("x1", F.col("x0") + 5)
+
+
+def rows_of_pages(t: Tables) -> DataFrame:
+    """Lines as rows of prose, lists, code and formulas, with small and large gaps."""
+    o = F.col("ord")
+    y0 = F.col("y0") + (F.col("doc_id") + o) % 7 * 3
+    kind = F.when(F.floor(o / 6) % 4 == 1, "code").when(F.floor(o / 6) % 4 == 2, "math").otherwise("text")
+    head = (kind == "text") & (F.floor(o / 6) % 4 == 3) & (o % 3 == 0)
+    size = F.when(o % 29 == 11, 14).otherwise(10 + o % 2)
+    x0 = F.col("x0") + F.when(o % 5 == 2, 8).otherwise(0)
+    return t.gt.select(*PAGE, "ord", kind.alias("kind"), x0.alias("x0"), y0.alias("y0"), (F.col("x1") + 8).alias("x1"), (y0 + 20).alias("y1"), size.alias("size"), F.when(o % 19 == 4, "g").when(o % 19 != 5, "f").alias("font"), (y0 + 15).alias("baseline"), F.when(o % 17 == 8, 2).when(o % 17 == 9, 1).otherwise(0).alias("col"), (o % 6 == 1).alias("tiny"), head.alias("head"), (o % 13 == 10).alias("indented"), F.lit(10).alias("body"))
+
+
+@query()
+def row_groups(t: Tables) -> DataFrame:
+    """Rows of pages joined to blocks, each against all of the block so far; tests compare with a plain loop."""
+    return composites.row_groups(rows_of_pages(t), PAGE)

@@ -125,3 +125,50 @@ def test_labels_of_odd_blocks(spark):
     got = {r["ord"]: (r["label"], r["level"]) for r in composites.hybrid_labels(df, 200, 1000).collect()}
     assert got == {0: ("paragraph", None), 1: ("paragraph", None), 2: ("paragraph", None), 3: ("heading", 2), 4: ("paragraph", None), 5: ("heading", 1), 6: ("heading", 2), 7: ("other", None), 8: ("other", None), 9: ("other", None), 10: ("paragraph", None), 11: ("figure", None), 12: ("code", None), 13: ("title", None), 14: ("heading", 2)}
     assert composites.hybrid_labels(df.limit(0), 200, 1000).count() == 0
+
+
+def continues(group, kind, r, body):
+    """Whether row r goes on the block of the rows in group."""
+    p, first = group[-1], group[0]
+    x0, x1 = min(g["x0"] for g in group), max(g["x1"] for g in group)
+    cols = {g["col"] for g in group}
+    col = cols.pop() if len(cols) == 1 else 0
+    reach = 3 * body if kind == "math" else 0
+    if not (r["x0"] < x1 + reach and r["x1"] > x0 - reach) or {col, r["col"]} == {1, 2}:
+        return False
+    gap = r["y0"] - p["y1"]
+    if kind == "math":
+        return -2 * body <= gap <= 1.2 * body and (r["kind"] == "math" or r["tiny"])
+    if gap < -0.5 * body:
+        return False
+    unit, large = max(body, p["size"], r["size"]), max(p["size"], r["size"])
+    if kind == "code":
+        return r["kind"] == "code" and (gap <= 0.8 * unit or 0 < r["baseline"] - p["baseline"] <= 1.8 * large)
+    fonts = {r["font"] or "", p["font"] or ""}
+    if r["kind"] != "text" or large > 1.15 * min(p["size"], r["size"]) or (len(fonts) > 1 and "" not in fonts):
+        return False
+    if kind == "list":
+        return gap <= (1.3 if r["head"] else 0.8) * unit and (r["head"] or r["x0"] > first["x0"] + 0.3 * body)
+    return gap <= 0.8 * unit and not r["head"] and not r["indented"] and r["x0"] <= x0 + 0.5 * body
+
+
+def test_row_groups_match_a_plain_loop(spark):
+    want, kinds = set(), set()
+    for page, rows in by_page(plans.rows_of_pages(Tables(spark, SMALL)).collect()).items():
+        groups = []
+        for r in rows:
+            if groups and continues(groups[-1][1], groups[-1][0], r, 10):
+                groups[-1][1].append(r)
+            else:
+                groups.append(("list" if r["kind"] == "text" and r["head"] else r["kind"], [r]))
+        want |= {(*page, k, r["ord"]) for k, (_, group) in enumerate(groups) for r in group}
+        kinds |= {kind for kind, group in groups if len(group) > 1}
+    assert {tuple(r) for r in registry.queries()["row_groups"](spark, SMALL).collect()} == want
+    assert kinds == {"text", "list", "code", "math"}
+
+
+def test_code_is_indented_by_its_characters(spark):
+    rows = ["12 if x:", "3    y = 1", "   ", "", "4", "z"]
+    chars = [(1, r, i, c, 10.0 + 6 * i, 15.0 + 6 * i, 6.0 if i < 2 and c.isdigit() and r < 4 else 10.0) for r, line in enumerate(rows) for i, c in enumerate(line)]
+    got = composites.reindented(spark.createDataFrame(chars, "block int, row int, i int, c string, x0 double, x1 double, size double"), ["block"]).collect()
+    assert [(r["block"], r["text"]) for r in got] == [(1, "   if x:\n     y = 1\n4\nz")]
