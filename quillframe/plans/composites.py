@@ -9,6 +9,7 @@ from quillframe.operators import composites
 from quillframe.plans.scoring import r6
 from quillframe.plans.shapes import GLYPHS_SQL, glyphs
 from quillframe.plans.tables import BOTH, PAGE, Tables, query
+from quillframe.sources import models
 
 HEIGHT = 1000
 #: Blocks with what rules look at; both engines read this.
@@ -145,3 +146,16 @@ def rows_of_pages(t: Tables) -> DataFrame:
 def row_groups(t: Tables) -> DataFrame:
     """Rows of pages joined to blocks, each against all of the block so far; tests compare with a plain loop."""
     return composites.row_groups(rows_of_pages(t), PAGE)
+
+
+@query("""
+, n as (select doc_id, page, count(*) as n, string_agg(text, '|' order by ord) as texts, row_number() over (partition by doc_id order by page) as number from gt where page % 4 <> 2 group by doc_id, page)
+select doc_id, max(number) as n_pages, cast(sum(n * number) as bigint) as places, 'p' || cast(min(page) as varchar) as extractor, sha256(string_agg(texts, '/' order by page)) as texts from n group by doc_id""")
+def merged_pages(t: Tables) -> DataFrame:
+    """Pages as documents of their own, of which some are missing, merged to one document each with pages numbered anew."""
+    page = t.gt.where("page % 4 <> 2").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("elements"))
+    parts = page.select("doc_id", F.col("page").alias("place"), F.concat(F.lit("p"), F.col("page").cast("string")).alias("extractor"), F.array(F.struct(F.lit(1).alias("page"), "elements")).alias("pages"))
+    m = models.merge_pages(parts, ["doc_id"], "place")
+    texts = F.array_join(F.transform("pages", lambda p: F.array_join(F.transform(p["elements"], lambda e: e["text"]), "|")), "/")
+    places = F.aggregate("pages", F.lit(0).cast("long"), lambda a, p: a + p["page"] * F.size(p["elements"]))
+    return m.select("doc_id", F.size("pages").alias("n_pages"), places.alias("places"), "extractor", F.sha2(texts, 256).alias("texts"))

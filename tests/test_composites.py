@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import defaultdict
 from statistics import median
@@ -12,6 +13,7 @@ from quillframe.operators import composites
 from quillframe.plans import composites as plans
 from quillframe.plans import registry
 from quillframe.plans.tables import Tables
+from quillframe.sources import models
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -172,3 +174,21 @@ def test_code_is_indented_by_its_characters(spark):
     chars = [(1, r, i, c, 10.0 + 6 * i, 15.0 + 6 * i, 6.0 if i < 2 and c.isdigit() and r < 4 else 10.0) for r, line in enumerate(rows) for i, c in enumerate(line)]
     got = composites.reindented(spark.createDataFrame(chars, "block int, row int, i int, c string, x0 double, x1 double, size double"), ["block"]).collect()
     assert [(r["block"], r["text"]) for r in got] == [(1, "   if x:\n     y = 1\n4\nz")]
+
+
+def test_registered_models_are_called(spark, tmp_path):
+    rows = [{"id": "a", "name": "A", "entry": "tests.test_composites:upper", "input": "pdf", "outputs": ["bbox"], "params": {"mark": "!"}, "note": "n"}, {"id": "b", "name": "B", "entry": "m:f", "input": "image", "outputs": []}]
+    put = lambda name, rows: (tmp_path / name).write_text(json.dumps(rows))
+    put("models.json", rows)
+    got = {r["id"]: r for r in models.load_models(spark, f"file://{tmp_path}/models.json").collect()}
+    assert got["b"]["params"] == {} and got["b"]["note"] == "" and got["a"]["outputs"] == ["bbox"]
+    df = spark.createDataFrame([("x",), (None,)], "text string")
+    assert [r["text"] for r in models.predict(df, got["a"]["entry"], got["a"]["params"]).collect()] == ["X!", None]
+    for name, bad, message in (("twice.json", [rows[0], rows[0]], "model twice: a"), ("none.json", [{**rows[0], "entry": "os"}], "no entry: a")):
+        put(name, bad)
+        with pytest.raises(Exception, match=message):
+            models.load_models(spark, f"file://{tmp_path}/{name}").collect()
+
+
+def upper(df, mark):
+    return df.selectExpr(f"concat(upper(text), '{mark}') as text")
