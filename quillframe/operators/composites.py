@@ -240,3 +240,33 @@ def row_groups(df: DataFrame, page: list[str], gaps: tuple[float, float, float]
 
     groups = pages.select(*page, F.posexplode(F.aggregate("rows", F.array().cast(f"array<{GROUP}>"), step)).alias("block", "g"))
     return groups.select(*page, "block", F.explode("g.ords").alias("ord"))
+
+
+def true_elements(glyphs: DataFrame, regions: DataFrame, page: list[str], order: list[str], tolerance: float = 5.0) -> DataFrame:
+    """(page, region, place, label, box, text) of the elements that regions of a page hold.
+
+    A region (region, kind, top, bottom, column, middle, label) takes the
+    glyphs (order, c, box, baseline) whose baseline is in its band, and whose
+    middle is in its column if it has one. What headers (hd), page numbers (pn)
+    and blocks across columns (wide) take is not in other blocks. A line ends
+    where the baseline changes; blanks around it go, and don't count in boxes.
+    A region without a visible glyph has no element. Headers come first and
+    page numbers last.
+    """
+    own = regions.select(*page, "region", "kind", "top", "bottom", "column", "middle", "label")
+    side = ((F.col("x0") + F.col("x1")) / 2 >= F.col("middle")).cast("int")
+    hits = glyphs.join(own, page).where(F.col("baseline").between(F.col("top") - tolerance, F.col("bottom") + tolerance) & (F.col("column").isNull() | (side == F.col("column"))))
+    first = F.col("kind").isin("hd", "pn", "wide")
+    hits = hits.withColumn("kept", F.max(first.cast("int")).over(Window.partitionBy(*page, *order))).where(first | (F.col("kept") == 0))
+    by = [*page, "region"]
+    change = F.abs(F.col("baseline") - F.lag("baseline").over(Window.partitionBy(*by).orderBy(*order))) > tolerance
+    lines = layout.islands(hits.withColumn("change", change), by, order, F.col("change"), "line")
+    visible = ~F.col("c").rlike(r"(?U)^\s*$")
+    ends = [f(F.when(visible, F.col(c))).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))]
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("line", *order, "c"))), lambda x: F.struct(x["line"].alias("line"), x["c"].alias("c")))
+    g = lines.groupBy(*by).agg(F.first("kind").alias("kind"), F.first("label").alias("label"), *ends, F.max("line").alias("last"), texts.alias("cs")).where("x0 is not null")
+    line = lambda n: strip(F.array_join(F.transform(F.filter("cs", lambda x: x["line"] == n), lambda x: x["c"]), ""))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.col("last").cast("int")), line), "\n")
+    rank = F.when(F.col("kind") == "hd", 0).when(F.col("kind") == "pn", 2).otherwise(1)
+    place = F.row_number().over(Window.partitionBy(*page).orderBy(rank, "region"))
+    return g.select(*by, place.alias("place"), "label", "x0", "y0", "x1", "y1", text.alias("text"))

@@ -159,3 +159,26 @@ def merged_pages(t: Tables) -> DataFrame:
     texts = F.array_join(F.transform("pages", lambda p: F.array_join(F.transform(p["elements"], lambda e: e["text"]), "|")), "/")
     places = F.aggregate("pages", F.lit(0).cast("long"), lambda a, p: a + p["page"] * F.size(p["elements"]))
     return m.select("doc_id", F.size("pages").alias("n_pages"), places.alias("places"), "extractor", F.sha2(texts, 256).alias("texts"))
+
+
+#: Regions of a page's marks; both engines read this.
+REGIONS = """
+select doc_id, page, ord as region, case when ord % 40 = 0 then 'hd' when ord % 40 = 39 then 'pn' when ord % 10 = 5 then 'wide' else 'block' end as kind, 100 + ord * 20 as top, 102 + ord * 20 + case when ord % 40 in (0, 39) then 0 when ord % 10 = 5 then 20 else 40 end as bottom,
+  case when ord % 8 = 1 then 0 when ord % 8 = 4 then 1 end as col, 300 as middle, case when ord % 40 in (0, 39) then 'other' else label end as label
+from {gt} where ord % 40 in (0, 39) or ord % 10 = 5 or ord % 4 < 2
+"""
+
+
+@query(GLYPHS_SQL + f"""
+, regions as ({REGIONS.format(gt="gt")}), gl as (select *, 100 + i * 8 as x0, 107 + i * 8 as x1, baseline - 9 as y0, baseline + 3 as y1 from boxed),
+hits as (select g.*, region, kind, label, g.ord * 1000000 + g.i as pos from gl g join regions r on g.doc_id = r.doc_id and g.page = r.page and baseline between top - 5.0 and bottom + 5.0 and (col is null or cast((x0 + x1) / 2.0 >= middle as int) = col)),
+kept as (select *, max(case when kind = 'block' then 0 else 1 end) over (partition by doc_id, page, pos) as taken from hits), k as (select * from kept where kind <> 'block' or taken = 0),
+n as (select *, case when abs(baseline - lag(baseline) over (partition by doc_id, page, region order by pos)) <= 5.0 then 0 else 1 end as new from k), l as (select *, sum(new) over (partition by doc_id, page, region order by pos rows unbounded preceding) as line from n),
+t as (select doc_id, page, region, line, any_value(kind) as kind, any_value(label) as label, trim(string_agg(c, '' order by pos)) as text, min(x0) filter (where c <> ' ') as x0, min(y0) filter (where c <> ' ') as y0, max(x1) filter (where c <> ' ') as x1, max(y1) filter (where c <> ' ') as y1 from l group by doc_id, page, region, line),
+e as (select doc_id, page, region, any_value(kind) as kind, any_value(label) as label, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, string_agg(text, chr(10) order by line) as text from t group by doc_id, page, region having min(x0) is not null)
+select doc_id, cast(page as bigint) as page, region, row_number() over (partition by doc_id, page order by case kind when 'hd' then 0 when 'pn' then 2 else 1 end, region) as place, label, cast(x0 as bigint) as x0, cast(y0 as bigint) as y0, cast(x1 as bigint) as x1, cast(y1 as bigint) as y1, text from e""")
+def true_elements(t: Tables) -> DataFrame:
+    """True elements from glyphs and the regions of marks, with headers, page numbers and blocks across columns taken out first."""
+    g = glyphs(t).select(*PAGE, "ord", "i", "c", "baseline", (100 + F.col("i") * 8).alias("x0"), (107 + F.col("i") * 8).alias("x1"), (F.col("baseline") - 9).alias("y0"), (F.col("baseline") + 3).alias("y1"))
+    r = t.view_of(REGIONS, gt=t.gt).withColumnRenamed("col", "column")
+    return composites.true_elements(g, r, PAGE, ["ord", "i"])

@@ -192,3 +192,21 @@ def test_registered_models_are_called(spark, tmp_path):
 
 def upper(df, mark):
     return df.selectExpr(f"concat(upper(text), '{mark}') as text")
+
+
+def test_elements_of_regions(spark):
+    text = [(1, "HEAD", 10), (2, "ab c", 50), (3, " de ", 70), (4, "  ", 90), (5, "wide", 110), (6, "7", 990)]
+    chars = [(1, 10 * row + i, c, 100.0 * i, b - 9.0, 100.0 * i + 50, b + 3.0, float(b)) for row, line, b in text for i, c in enumerate(line)]
+    chars.append((1, 29, None, 0.0, 0.0, 0.0, 0.0, 50.0))
+    glyphs = spark.createDataFrame(chars, "page int, i int, c string, x0 double, y0 double, x1 double, y1 double, baseline double")
+    rows = [(9, "hd", 10, 10, None, "other"), (8, "pn", 990, 990, None, "other"), (1, "block", 5, 75, None, None), (2, "block", 90, 90, None, "math"), (3, "wide", 110, 110, None, "title"), (4, "block", 50, 120, 1, "list"), (5, "block", 400, 500, None, "x")]
+    regions = spark.createDataFrame([(1, *r[:5], 150, r[5]) for r in rows], 'page int, region int, kind string, top int, bottom int, "column" int, middle int, label string'.replace('"', "`"))
+    got = [tuple(r) for r in composites.true_elements(glyphs, regions, ["page"], ["i"]).orderBy("place").collect()]
+    assert got == [
+        (1, 9, 1, "other", 0.0, 1.0, 350.0, 13.0, "HEAD"),
+        (1, 1, 2, None, 0.0, 41.0, 350.0, 73.0, "ab c\nde"),
+        (1, 3, 3, "title", 0.0, 101.0, 350.0, 113.0, "wide"),
+        (1, 4, 4, "list", 200.0, 41.0, 350.0, 73.0, "c\ne"),
+        (1, 8, 5, "other", 0.0, 981.0, 50.0, 993.0, "7"),
+    ]
+    assert composites.true_elements(glyphs.limit(0), regions, ["page"], ["i"]).count() == 0
