@@ -64,10 +64,9 @@ def block_training_rows(found: DataFrame, truth: DataFrame, page: list[str], lea
 def char_owners(chars: DataFrame, by: list[str], order: str, char: str, owner: str) -> DataFrame:
     """chars with owner as it is for visible characters; a blank one gets its neighbours' if the nearest visible ones before and after agree."""
     visible = F.col(char).isNotNull() & ~F.col(char).rlike(r"(?U)^\s*$")
-    w = Window.partitionBy(*by).orderBy(order)
     seen = F.when(visible, F.struct(F.col(owner).alias("id")))
-    before = F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))["id"]
-    after = F.first(seen, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))["id"]
+    # Both look back, one from the end: a frame that looks ahead would be gone through anew for each row.
+    before, after = (F.last(seen, ignorenulls=True).over(Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1))["id"] for o in (F.col(order), F.col(order).desc()))
     return chars.withColumn(owner, F.when(visible, F.col(owner)).when(before == after, before))
 
 
