@@ -76,6 +76,14 @@ def test_long_turns_are_parts_of_their_own(spark, monkeypatch):
     assert formatted.selectExpr("max(octet_length(formatted))").first()[0] < 4 << 20 and formatted.count() > 8
 
 
+def test_rules_are_those_of_the_contract(spark, tmp_path):
+    assert {f"{v} {h}{p}" for h, p, v in registry.URL_RULES} == {"block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"}
+    urls = ["http://a.net/de/1", "http://example.net/de/8", "http://a.example.net/de/7", "http://b.com/en/", "http://example.com/en/7", "http://org/es/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.op6_url_filter(spark, str(tmp_path)).orderBy("page_id").select("rule", "verdict").collect()
+    assert [tuple(r) for r in got] == [("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("com/en/", "block"), ("example.com/en/7", "allow"), ("org/es/", "block")]
+
+
 RULES = registry.URL_RULES
 
 
