@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Lines are taken together up to so many bytes of text; a longer one is taken alone.
 BYTES = 1 << 19
@@ -96,3 +97,58 @@ def owned_spans(c: Chars, visible: np.ndarray, owner: np.ndarray) -> tuple[np.nd
         return first, {"id": first, "n": n, "blanks": n, "start": first, "stop": first}
     made = {"id": own[first], "n": n, "blanks": np.add.reduceat(blank.astype(np.int64), first), "start": np.minimum.reduceat(i, first), "stop": np.maximum.reduceat(i, first) + 1}
     return line[first], made
+
+
+def counted(line: np.ndarray, value: np.ndarray, n_lines: int) -> pa.Array:
+    """Each line's values and how often it has them, as a list."""
+    order = np.lexsort((value, line))
+    line, value = line[order], value[order]
+    first, n = runs_of(line, value)
+    ends = np.searchsorted(line[first], np.arange(n_lines + 1))
+    entries = pa.StructArray.from_arrays([pa.array(value[first].astype(float)), pa.array(n)], ["v", "n"])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries)
+
+
+def code_rows(c: Chars, code: np.ndarray, x0: np.ndarray, x1: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, dict]:
+    """Rows of code without the small number they begin with: what is shown, where it begins, the steps between visible neighbours, and the widths of characters if there are none."""
+    blank, digit = code == ord(" "), (code >= ord("0")) & (code <= ord("9"))
+    big, first = np.zeros(c.n_lines), np.full(c.n_lines, len(code) + 1)
+    plain = ~blank & ~digit
+    np.maximum.at(big, c.line[plain], size[plain])
+    number = blank | (digit & (size * 100 < 85 * big[c.line]))
+    np.minimum.at(first, c.line[~number], c.i[~number])
+    held = c.i >= first[c.line]
+    line, code, blank, x0, x1 = c.line[held], code[held], blank[held], x0[held], x1[held]
+    step = (line[1:] == line[:-1]) & ~blank[1:] & ~blank[:-1] & (x0[1:] > x0[:-1])
+    steps = counted(line[1:][step], (x0[1:] - x0[:-1])[step], c.n_lines)
+    has = np.bincount(line[1:][step], minlength=c.n_lines) > 0
+    lone = ~blank & ~has[line]
+    widths = counted(line[lone], (x1 - x0)[lone], c.n_lines)
+    n = np.bincount(line, minlength=c.n_lines)
+    at = np.flatnonzero(n)
+    begin = (np.cumsum(n) - n)[at]
+    shown = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.r_[begin, len(code)].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(code))]).cast(pa.string())
+    return at, {"shown": shown, "x0": x0[begin].astype(float), "steps": steps.take(pa.array(at)), "widths": widths.take(pa.array(at))}
+
+
+def weighted_median(entries: Column) -> Column:
+    """The median of values (v) that occur n times each; null of none."""
+    whole = F.aggregate(entries, F.lit(0).cast("long"), lambda a, e: a + e["n"])
+    none = F.lit(None).cast("double")
+    zero = F.struct(F.lit(0).cast("long").alias("k"), none.alias("low"), none.alias("high"), whole.alias("n"))
+
+    def step(a: Column, e: Column) -> Column:
+        k, n = a["k"] + e["n"], a["n"]
+        reached = lambda name, place: F.coalesce(a[name], F.when(2 * k > place, e["v"])).alias(name)
+        return F.struct(k.alias("k"), reached("low", n - 1 - (n + 1) % 2), reached("high", n - n % 2), n.alias("n"))
+
+    return F.aggregate(F.array_sort(entries), zero, step, lambda a: (a["low"] + a["high"]) / 2)
+
+
+def reindented(rows: DataFrame, block: list[str]) -> DataFrame:
+    """(block, text) of rows as code_rows makes them: each begins with as many blanks as its indent has widths of a character."""
+    g = rows.groupBy(*block).agg(F.array_sort(F.collect_list(F.struct("row", "x0", "shown"))).alias("rows"), F.min("x0").alias("left"), F.flatten(F.collect_list("steps")).alias("steps"), F.flatten(F.collect_list("widths")).alias("widths"))
+    g = g.select(*block, "rows", "left", F.coalesce(weighted_median(F.col("steps")), weighted_median(F.col("widths"))).alias("width"))
+    unit = F.when(F.col("width") > 0, F.col("width")).otherwise(1.0)
+    line = lambda r: F.concat(F.repeat(F.lit(" "), F.bround((r["x0"] - F.col("left")) / unit, 0).cast("int")), r["shown"])
+    return g.select(*block, F.array_join(F.transform("rows", line), "\n").alias("text"))

@@ -41,3 +41,16 @@ def test_owners_are_those_of_characters_as_rows(spark, odd):
     got = plans.character_owners(t)
     assert rows(got) == rows(want) and shuffles(got) == 0
     assert registry.queries()["character_owners"](spark, odd).where("blanks > 0").count() > 0
+
+
+def test_code_is_that_of_characters_as_rows(spark, odd):
+    t = Tables(spark, odd)
+    got = plans.reindented_code(t)
+    assert rows(got) == rows(composites.reindented(plans.code_chars(t), ["doc_id", "block"]))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_medians_of_counted_values(spark):
+    values = [[(1.0, 1)], [(2.0, 1), (1.0, 1)], [(3.0, 2), (1.0, 1), (3.0, 1)], [(5.0, 2), (1.0, 2)], []]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, e array<struct<v:double,n:bigint>>")
+    assert [r[0] for r in df.orderBy("i").select(characters.weighted_median(F.col("e"))).collect()] == [1.0, 1.5, 3.0, 3.0, None]
