@@ -152,3 +152,110 @@ def reindented(rows: DataFrame, block: list[str]) -> DataFrame:
     unit = F.when(F.col("width") > 0, F.col("width")).otherwise(1.0)
     line = lambda r: F.concat(F.repeat(F.lit(" "), F.bround((r["x0"] - F.col("left")) / unit, 0).cast("int")), r["shown"])
     return g.select(*block, F.array_join(F.transform("rows", line), "\n").alias("text"))
+
+
+def spread(counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each range its number, and what lies in it, one after another."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner] + begins[owner]
+
+
+def listed(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """How many structs the lists of a column have, and their fields one after another."""
+    x = batch.column(name)
+    fields = x.flatten()
+    names = [x.type.value_type.field(k).name for k in range(x.type.value_type.num_fields)]
+    return x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), dict(zip(names, fields.flatten(), strict=True))
+
+
+def region_elements(pages: DataFrame, page: list[str], boxes: Callable[[Chars], dict[str, np.ndarray]], tolerance: float = 5.0) -> DataFrame:
+    """(page, region, place, label, box, text) of pages with lines (ord, text) in order and regions (region, kind, top, bottom, column, middle, label) in order: what composites.true_elements makes of characters that are rows. boxes gives characters' baseline, x0, y0, x1 and y1."""
+    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in pages.select(*page).dtypes), "region long, place long, label string, x0 double, y0 double, x1 double, y1 double, text string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, lines = listed(batch, "lines")
+            ends = np.r_[0, np.cumsum(n)]
+            sizes = bytes_of(lines["text"])[0][ends]
+            for part in parts(batch, np.diff(sizes)):
+                yield elements_of(part, page, boxes, tolerance)
+
+    return pages.mapInArrow(run, schema)
+
+
+def elements_of(part: pa.RecordBatch, page: list[str], boxes: Callable[[Chars], dict[str, np.ndarray]], tolerance: float) -> pa.RecordBatch:
+    n_lines, lines = listed(part, "lines")
+    n_regions, own = listed(part, "regions")
+    c = Chars(pa.RecordBatch.from_arrays([lines["ord"]], ["ord"]), lines["text"])
+    at = {k: np.asarray(v, dtype=float) for k, v in boxes(c).items()}
+    number = lambda name: own[name].cast(pa.float64()).to_numpy(zero_copy_only=False)
+    top, bottom, column, middle = number("top") - tolerance, number("bottom") + tolerance, number("column"), number("middle")
+    kind = own["kind"].to_numpy(zero_copy_only=False)
+    first = np.isin(kind.astype(str), ["hd", "pn", "wide"])
+    of_page = np.repeat(np.arange(len(n_regions)), n_regions)
+    # Regions meet the lines of their page whose baselines may be in their bands, then the characters of those.
+    low, high = np.full(c.n_lines, np.inf), np.full(c.n_lines, -np.inf)
+    np.minimum.at(low, c.line, at["baseline"])
+    np.maximum.at(high, c.line, at["baseline"])
+    r, line = spread(n_lines[of_page], (np.cumsum(n_lines) - n_lines)[of_page])
+    near = (high[line] >= top[r]) & (low[line] <= bottom[r])
+    r, line = r[near], line[near]
+    k, g = spread(c.n[line], c.start[line])
+    r = r[k]
+    side = (at["x0"][g] + at["x1"][g]) / 2 >= middle[r]
+    inside = (at["baseline"][g] >= top[r]) & (at["baseline"][g] <= bottom[r]) & (np.isnan(column[r]) | (side == column[r]))
+    r, g = r[inside], g[inside]
+    taken = np.zeros(len(c.code), bool)
+    taken[g[first[r]]] = True
+    kept = first[r] | ~taken[g]
+    r, g = r[kept], g[kept]
+    code, base = c.code[g], at["baseline"][g]
+    visible = code != ord(" ")
+    data, texts, found = code.tobytes(), [], []
+    starts = np.flatnonzero(np.r_[True, (np.diff(r) != 0) | (np.abs(np.diff(base)) > tolerance)]) if len(r) else np.zeros(0, np.int64)
+    for region, a, b in zip(r[starts].tolist(), starts.tolist(), np.r_[starts[1:], len(r)].astype(int).tolist(), strict=True):
+        if not found or found[-1] != region:
+            found.append(region)
+            texts.append([])
+        texts[-1].append(data[a:b].decode("ascii").strip(" "))
+    found = np.array(found, dtype=np.int64)
+    rows, seen = r[visible], np.zeros(len(of_page), bool)
+    seen[rows] = True
+    ends = {name: np.full(len(of_page), np.inf if name in ("x0", "y0") else -np.inf) for name in ("x0", "y0", "x1", "y1")}
+    for name, end in ends.items():
+        (np.minimum if name in ("x0", "y0") else np.maximum).at(end, rows, at[name][g][visible])
+    shown = seen[found]
+    texts = ["\n".join(t) for t, s in zip(texts, shown, strict=True) if s]
+    found = found[shown]
+    region = own["region"].cast(pa.int64()).to_numpy(zero_copy_only=False)[found]
+    order = np.lexsort((region, np.select([kind[found] == "hd", kind[found] == "pn"], [0, 2], 1), of_page[found]))
+    pages = of_page[found][order]
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found)) - (np.searchsorted(pages, pages) if len(pages) else 0) + 1
+    made = {"region": pa.array(region), "place": pa.array(place), "label": own["label"].take(pa.array(found)), **{k: pa.array(v[found]) for k, v in ends.items()}, "text": pa.array(texts, pa.string())}
+    keys = [part.column(name).take(pa.array(of_page[found])) for name in page]
+    return pa.RecordBatch.from_arrays([*keys, *made.values()], names=[*page, *made])
+
+
+def short_runs(c: Chars, flag: np.ndarray, most: int) -> tuple[np.ndarray, dict]:
+    """Where runs of at most so many flagged characters begin, and how many they are."""
+    first, n = runs_of(c.line, flag)
+    kept = flag[first] & (n <= most)
+    return c.line[first[kept]], {"start": c.i[first[kept]], "n": n[kept]}
+
+
+def letters(code: np.ndarray) -> np.ndarray:
+    return ((code | 32) >= ord("a")) & ((code | 32) <= ord("z"))
+
+
+def large_medians(c: Chars, size: np.ndarray, value: np.ndarray, share: float) -> tuple[np.ndarray, dict]:
+    """The median of each line's values over the characters that are nearly as large as its largest."""
+    biggest = np.zeros(c.n_lines)
+    np.maximum.at(biggest, c.line, size)
+    held = size >= share * biggest[c.line]
+    line, value = c.line[held], value[held]
+    value = value[np.lexsort((value, line))]
+    n = np.bincount(line, minlength=c.n_lines)
+    at = np.flatnonzero(n)
+    begin, n = (np.cumsum(n) - n)[at], n[at]
+    return at, {"baseline": (value[begin + (n - 1) // 2] + value[begin + n // 2]) / 2}

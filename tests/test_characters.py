@@ -54,3 +54,13 @@ def test_medians_of_counted_values(spark):
     values = [[(1.0, 1)], [(2.0, 1), (1.0, 1)], [(3.0, 2), (1.0, 1), (3.0, 1)], [(5.0, 2), (1.0, 2)], []]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, e array<struct<v:double,n:bigint>>")
     assert [r[0] for r in df.orderBy("i").select(characters.weighted_median(F.col("e"))).collect()] == [1.0, 1.5, 3.0, 3.0, None]
+
+
+def test_elements_are_those_of_characters_as_rows(spark, odd):
+    t = Tables(spark, odd)
+    i = F.col("i") * 8
+    g = shapes.glyphs(t).select(*PAGE, "ord", "i", "c", "baseline", (100 + i).alias("x0"), (107 + i).alias("x1"), (F.col("baseline") - 9).alias("y0"), (F.col("baseline") + 3).alias("y1"))
+    r = t.view_of(plans.REGIONS, gt=t.gt).withColumnRenamed("col", "column")
+    got = plans.true_elements(t)
+    assert rows(got) == rows(composites.true_elements(g, r, PAGE, ["ord", "i"])) and got.count() > 10
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
