@@ -64,3 +64,15 @@ def test_elements_are_those_of_characters_as_rows(spark, odd):
     got = plans.true_elements(t)
     assert rows(got) == rows(composites.true_elements(g, r, PAGE, ["ord", "i"])) and got.count() > 10
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_runs_are_not_shuffled(spark, odd):
+    got = shapes.short_italic_runs(Tables(spark, odd))
+    assert shuffles(got) == 0
+    want = {(d, o, i) for d, text in enumerate(TEXTS) for o, line in enumerate((text or "").split("\n")) for i in run_starts([x for x in line if " " <= x <= "~"])}
+    assert {(r["doc_id"], r["ord"], r["start"]) for r in got.collect()} == want
+
+
+def run_starts(cs):
+    slanted = [c.isalpha() and i % 7 in (2, 3, 5) for i, c in enumerate(cs)]
+    return [i for i, x in enumerate(slanted) if x and not (i and slanted[i - 1])]
