@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import median
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,15 @@ def test_short_runs_are_not_shuffled(spark, odd):
 def run_starts(cs):
     slanted = [c.isalpha() and i % 7 in (2, 3, 5) for i, c in enumerate(cs)]
     return [i for i, x in enumerate(slanted) if x and not (i and slanted[i - 1])]
+
+
+def test_baselines_are_not_shuffled(spark, odd):
+    got = shapes.line_baselines(Tables(spark, odd))
+    assert shuffles(got) == 0
+    want = {}
+    for d, text in enumerate(TEXTS):
+        for o, line in enumerate((text or "").split("\n")):
+            # All are nearly as large as the largest: sizes differ by one in twenty.
+            if cs := [x for x in line if " " <= x <= "~"]:
+                want[d, o] = median(100 + o * 20 + i % 3 for i in range(len(cs)))
+    assert {(r["doc_id"], r["ord"]): r["baseline"] for r in got.collect()} == want
