@@ -26,7 +26,9 @@ def word_elements(words: DataFrame, page: list[str], width: Column, height: Colu
     p = lines.groupBy(*page, "block", "par").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min("ord").alias("ord"), F.array_join(texts, "\n").alias("text"), F.element_at(heights, F.floor(F.count("*") / 2).cast("int") + 1).alias("font_size"), (F.sum("conf") / F.sum("n") / 100).alias("confidence"))
     p = p.where("x1 > x0 and y1 > y0")
     shares = [normalize(F.col(c) / scale, size).alias(c) for c, size in (("x0", width), ("y0", height), ("x1", width), ("y1", height))]
-    return p.select(*page, "ord", *shares, "text", F.round("font_size", 1).alias("font_size"), F.round("confidence", 4).alias("confidence"))
+    # Rounded as a number of ten-thousandths, as SQL engines do it: the mean itself is rounded by its decimal digits, which decides ties otherwise.
+    confidence = F.round(F.col("confidence") * 10000, 0) / 10000
+    return p.select(*page, "ord", *shares, "text", F.round("font_size", 1).alias("font_size"), confidence.alias("confidence"))
 
 
 def text_in_boxes(boxes: DataFrame, texts: DataFrame, page: list[str]) -> DataFrame:
