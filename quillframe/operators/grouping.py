@@ -1,10 +1,11 @@
-"""Grouping whose steps depend on the groups so far: one Arrow-batched function call a page."""
+"""Grouping whose steps depend on the groups so far: one function call a page, many pages an Arrow batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,34 +80,37 @@ def blocks(rows: list[tuple], gap: float = 0.8, ratio: float = 1.3, indent: floa
     return out
 
 
-def by_page(df: DataFrame, page: list[str], make: Callable[[pd.DataFrame], pd.DataFrame], more: str) -> DataFrame:
-    rows = df.select(*page, "ord", *BOX)
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in page)
+def by_page(df: DataFrame, page: list[str], make: Callable[[list, list[tuple]], tuple], more: dict[str, str]) -> DataFrame:
+    """make's columns (more: their types) for each page's ords and boxes; a page is one row, and many share an Arrow batch."""
+    field = lambda c: F.transform("e", lambda x: x[c]).alias(c)
+    rows = df.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("ord", *BOX))).alias("e")).select(*page, *(field(c) for c in ("ord", *BOX)))
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in page), *(f"`{c}` {kind}" for c, kind in more.items())])
+    kinds = [pa.float64() if kind == "double" else pa.int64() for kind in more.values()]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable").reset_index(drop=True)
-        out = make(pdf)
-        for at, c in enumerate(page):
-            out.insert(at, c, pdf[c].iloc[0])
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, made = [], [[] for _ in kinds]
+            for ords, *sides in zip(*(batch.column(c).to_pylist() for c in ("ord", *BOX)), strict=True):
+                out = make(ords, list(zip(*sides, strict=True)))
+                counts.append(len(out[0]))
+                for whole, part in zip(made, out, strict=True):
+                    whole.extend(part)
+            at = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in page), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=[*page, *more])
 
-    return rows.groupBy(*page).applyInPandas(run, f"{schema}, {more}")
-
-
-def boxes_of(pdf: pd.DataFrame) -> list[tuple]:
-    return list(pdf[list(BOX)].itertuples(index=False, name=None))
+    return rows.mapInArrow(run, schema)
 
 
 def near_components(df: DataFrame, page: list[str], gap: float) -> DataFrame:
     """(page, ord, fragment): the smallest ord among the boxes that near ones connect."""
-    return by_page(df, page, lambda p: pd.DataFrame({"ord": p["ord"], "fragment": p["ord"].to_numpy()[closure(boxes_of(p), gap)]}), "ord long, fragment long")
+    return by_page(df, page, lambda ords, boxes: (ords, [ords[i] for i in closure(boxes, gap)]), {"ord": "long", "fragment": "long"})
 
 
 def merge_boxes(df: DataFrame, page: list[str], gap: float) -> DataFrame:
     """(page, box): hulls of boxes that are near or become so."""
-    return by_page(df, page, lambda p: pd.DataFrame(merged(boxes_of(p), gap), columns=list(BOX)), ", ".join(f"{c} double" for c in BOX))
+    return by_page(df, page, lambda _, boxes: tuple(zip(*merged(boxes, gap), strict=True)), dict.fromkeys(BOX, "double"))
 
 
 def line_blocks(df: DataFrame, page: list[str]) -> DataFrame:
     """(page, ord, block) of all lines."""
-    return by_page(df, page, lambda p: pd.DataFrame({"ord": p["ord"], "block": blocks(boxes_of(p))}), "ord long, block long").withColumn("block", F.col("block") + 1)
+    return by_page(df, page, lambda ords, boxes: (ords, blocks(boxes)), {"ord": "long", "block": "long"}).withColumn("block", F.col("block") + 1)
