@@ -90,3 +90,8 @@ def test_baselines_are_not_shuffled(spark, odd):
             if cs := [x for x in line if " " <= x <= "~"]:
                 want[d, o] = median(100 + o * 20 + i % 3 for i in range(len(cs)))
     assert {(r["doc_id"], r["ord"]): r["baseline"] for r in got.collect()} == want
+
+
+def test_glyphs_are_counted_before_they_meet_regions(spark, odd):
+    plan = shapes.region_glyphs(Tables(spark, odd))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join") :]
