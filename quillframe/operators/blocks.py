@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ TITLE = ("title", "author", "date")
 LEAST_WIDTH = 0.05
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out once, however often it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def without_marker(line: Column) -> Column:
     """A list line without the mark it begins with, the first kind that fits."""
     out = line
@@ -80,13 +87,17 @@ def to_blocks(df: DataFrame) -> DataFrame:
 
 def table_block(cells: Column, aligns: Column, col_rules: Column, row_rules: Column, widths: Column, left: Column, right: Column) -> Column:
     """A table's rows, columns and rules: cells' lines joined and rows filled up; what does not fit the number of rows or columns is replaced (left, no upright rules, rules above and below, no widths)."""
-    rows = F.when(F.size(cells) > 0, F.transform(cells, lambda r: F.transform(r, join_wrapped))).otherwise(F.array(F.array(F.lit(""))))
-    n_rows = F.size(rows)
-    n = F.greatest(F.array_max(F.transform(rows, F.size)), F.lit(1))
+    rows = F.when(F.size(cells) > 0, cells).otherwise(F.array(F.array(F.lit(""))))
     fits = lambda xs, size, default: F.when(xs.isNotNull() & (F.size(xs) == size), xs).otherwise(default)
-    own_rows = fits(row_rules, n_rows + 1, F.transform(F.sequence(F.lit(0), n_rows), lambda i: (i == 0) | (i == n_rows)))
-    own_columns = fits(col_rules, n + 1, F.array_repeat(F.lit(False), n + 1))
     share = lambda w: F.when(w.isNotNull() & (right > left), F.round(F.least(F.lit(1.0), F.greatest(F.lit(LEAST_WIDTH), w / (right - left))), 3))
-    own_widths = F.transform(fits(widths, n, F.array_repeat(F.lit(None).cast("double"), n)), share)
-    filled = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), n - F.size(r))))
-    return F.struct(filled.alias("rows"), fits(aligns, n, F.array_repeat(F.lit("l"), n)).alias("aligns"), own_widths.alias("widths"), own_columns.alias("col_rules"), own_rows.alias("row_rules"))
+
+    def made(t: Column) -> Column:
+        n, n_rows = t["n"], F.size(t["rows"])
+        own_rows = fits(row_rules, n_rows + 1, F.transform(F.sequence(F.lit(0), n_rows), lambda i: (i == 0) | (i == n_rows)))
+        own_columns = fits(col_rules, n + 1, F.array_repeat(F.lit(False), n + 1))
+        own_widths = F.transform(fits(widths, n, F.array_repeat(F.lit(None).cast("double"), n)), share)
+        filled = F.transform(t["rows"], lambda r: F.concat(F.transform(r, join_wrapped), F.array_repeat(F.lit(""), n - F.size(r))))
+        return F.struct(filled.alias("rows"), fits(aligns, n, F.array_repeat(F.lit("l"), n)).alias("aligns"), own_widths.alias("widths"), own_columns.alias("col_rules"), own_rows.alias("row_rules"))
+
+    # The number of columns is found once a table: within the rows it would be counted over all of them for each one.
+    return once(rows, lambda r: once(F.struct(r.alias("rows"), F.greatest(F.array_max(F.transform(r, F.size)), F.lit(1)).alias("n")), made))

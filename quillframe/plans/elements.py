@@ -238,7 +238,7 @@ def table_blocks(t: Tables) -> DataFrame:
     from quillframe.operators.blocks import table_block
 
     width = F.when(F.col("t") % 3 == 0, 3).otherwise(2)
-    x = t.table_rows.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.array("a", "b", "c").alias("x")))), lambda y: y["x"]).alias("cells"))
+    x = t.table_rows.groupBy("t").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", F.array("a", "b", "c").alias("x")))), lambda y: y["x"]).alias("cells"))
     cells = F.transform("cells", lambda r: F.slice(r, F.lit(1), width))
     rules = F.when(F.col("t") % 2 == 0, F.array(*(F.lit(v) for v in (False, True, True, False))))
     b = table_block(cells, F.array(F.lit("l"), F.lit("c"), F.lit("r")), F.lit(None).cast("array<boolean>"), rules, F.lit(None).cast("array<double>"), F.lit(0.0), F.lit(1.0))
