@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.geometry import Box, overlap_ratio
-from quillframe.functions.text import char_errors, normalize_text, strip
-from quillframe.operators import layout
-from quillframe.operators.matching import renamed, smallest_container
+from quillframe.functions.text import distance, strip
+from quillframe.operators import characters, layout
+from quillframe.operators.matching import renamed
 
 # The patterns and limits by which blocks are told apart must be these for the same labels.
 PAGE_NUMBER = r"(?iU)^[-–—\s]*(?:\d+|[ivxlc]+)[-–—\s]*$"
@@ -144,23 +149,77 @@ def page_char_errors(found: DataFrame, truth: DataFrame, page: list[str], exclud
     in an excluded element don't count, those in no element are wrong as a
     whole. A block's lines go from row to row, a row's from left to right.
     """
-    texts = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: normalize_text(x) != "")
-    d = found.withColumn("texts", texts).select(*page, "ord", "x0", "x1", "y0", ((F.col("y1") - F.col("y0")) / F.size("texts")).alias("h"), F.posexplode("texts").alias("k", "text"))
-    key = F.struct("ord", "k")
-    lines = d.select(*page, key.alias("ord"), "x0", "h", "text", ((F.col("x0") + F.col("x1")) / 2).alias("x"), (F.col("y0") + F.col("h") * (F.col("k") + 0.5)).alias("y"))
     out = F.coalesce(F.col("label"), F.col("kind")).isin(*excluded) | F.col("kind").isin(*excluded)
-    boxes = truth.where(out | (F.coalesce("text", F.lit("")) != "")).select(*page, "ord", "x0", "y0", "x1", "y1", "text", out.alias("out"))
-    points = lines.select(*page, "ord", "x", "y")
-    within = smallest_container(points, boxes.where("out"), page).where("container is not null").select(*page, "ord")
-    counted = lines.join(within, [*page, "ord"], "left_anti")
-    placed = counted.join(smallest_container(points, boxes.where("not out"), page), [*page, "ord"])
-    rows = layout.rows_by_gap(placed.where("container is not null"), [*page, "container"], "y", "h")
-    read = rows.groupBy(*page, F.col("container").alias("ord")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "x0", "y", F.col("ord").alias("o"), "text"))), lambda x: x["text"]), "").alias("found"))
-    e = char_errors(F.col("text"), F.col("found"))
-    right = boxes.where("not out").join(read, [*page, "ord"], "left").select(*page, e.alias("e")).groupBy(*page).agg(F.sum("e.errors").alias("errors"), F.sum("e.chars").alias("chars"))
-    extra = placed.where("container is null").groupBy(*page).agg(F.sum(F.length(normalize_text(F.col("text")))).alias("extra_chars"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return right.join(extra, page, "full").select(*page, (zero("errors") + zero("extra_chars")).alias("errors"), zero("chars").alias("chars"), zero("extra_chars").alias("extra_chars"))
+    box = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    text = F.coalesce("text", F.lit("")).alias("text")
+    f = F.struct(F.col("ord").cast("long").alias("ord"), *box, text)
+    g = F.struct(F.col("ord").cast("long").alias("ord"), *box, text, out.alias("out"))
+    kinds = ["struct<ord:bigint,x0:double,y0:double,x1:double,y1:double,text:string>", "struct<ord:bigint,x0:double,y0:double,x1:double,y1:double,text:string,out:boolean>"]
+    none = [F.lit(None).cast(kind) for kind in kinds]
+    # A page is one row with all it needs: no join is made, and many pages share an Arrow batch.
+    sides = found.select(*page, f.alias("f"), none[1].alias("g")).unionByName(truth.where(out | (F.coalesce("text", F.lit("")) != "")).select(*page, none[0].alias("f"), g.alias("g")))
+    pages = sides.groupBy(*page).agg(F.collect_list("f").alias("found"), F.collect_list("g").alias("truth"))
+    names = ("errors", "chars", "extra_chars")
+    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in pages.select(*page).dtypes), *(f"{c} long" for c in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, made = [], []
+            rows = [rows_of(batch, "found", ("ord", "x0", "y0", "x1", "y1", "text")), rows_of(batch, "truth", ("ord", "x0", "y0", "x1", "y1", "text", "out"))]
+            for i, (own, true) in enumerate(zip(*rows, strict=True)):
+                e = errors_of_page(own, true)
+                if e:
+                    at.append(i)
+                    made.append(e)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in page), *(pa.array([e[k] for e in made], pa.int64()) for k in range(len(names)))], names=[*page, *names])
+
+    return pages.mapInArrow(run, schema)
+
+
+def rows_of(batch: pa.RecordBatch, name: str, fields: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The structs of each list of a column, as tuples."""
+    counts, values = characters.listed(batch, name)
+    every = zip(*(values[c].to_pylist() for c in fields), strict=True)
+    return (list(islice(every, n)) for n in counts.tolist())
+
+
+def errors_of_page(found: list[tuple], truth: list[tuple]) -> tuple[int, int, int] | None:
+    """Errors, characters and those of no element of one page; None if it has no block and no such line."""
+    shown = lambda t: "".join(t.split())
+    # Of the boxes around a point the first one is the smallest.
+    sized = sorted(truth, key=lambda e: (max(e[3] - e[1], 0) * max(e[4] - e[2], 0), e[0]))
+    out, blocks = ([e for e in sized if e[6] is x] for x in (True, False))
+    outside, inside = (np.array([e[1:5] for e in es], dtype=float).reshape(-1, 4).T for es in (out, blocks))
+    around = lambda b, x, y: np.flatnonzero((b[0] <= x) & (x <= b[2]) & (b[1] <= y) & (y <= b[3]))
+    own: dict[int, list[tuple]] = {}
+    lost = extra = 0
+    for o, x0, y0, x1, y1, text in found:
+        texts = [t for t in map(shown, text.split("\n")) if t]
+        for k, t in enumerate(texts):
+            h = (y1 - y0) / len(texts)
+            x, y = (x0 + x1) / 2, y0 + h * (k + 0.5)
+            if out and len(around(outside, x, y)):
+                continue
+            hit = around(inside, x, y) if blocks else ()
+            if len(hit):
+                own.setdefault(int(hit[0]), []).append((y, o, k, x0, h, t))
+            else:
+                lost, extra = lost + 1, extra + len(t)
+    if not blocks and not lost:
+        return None
+    errors = chars = 0
+    for i, b in enumerate(blocks):
+        lines = sorted(own.get(i, ()))
+        heights = sorted(x[4] for x in lines)
+        half = (heights[(len(lines) - 1) // 2] * 0.5 + heights[len(lines) // 2] * 0.5) / 2 if lines else 0.0
+        row, placed = 0, []
+        for before, x in zip([None, *lines], lines, strict=False):
+            row += before is not None and x[0] - before[0] > half
+            placed.append((row, x[3], *x[:3], x[5]))
+        true = shown(b[5])
+        errors += distance(true, "".join(x[5] for x in sorted(placed)))
+        chars += len(true)
+    return errors + extra, chars, extra
 
 
 def reindented(chars: DataFrame, block: list[str]) -> DataFrame:

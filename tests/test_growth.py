@@ -25,3 +25,18 @@ def test_white_space_at_ends_is_that_of_the_pattern(spark):
     pattern = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
     assert df.where(~text.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", pattern, ""))).count() == 0
     assert {len(r[0]) for r in df.where("t is not null").select(text.strip(F.col("t"))).collect()} == {0, 3, 5}
+
+
+def test_distance_is_levenshteins(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab\u3000c") for _ in range(rng.choice((0, 1, 3, 9, 40, 90))))
+    pairs = [(word(), word()) for _ in range(150)] + [(a + b, a + c + b) for a, b, c in ((word(), word(), word()) for _ in range(60))] + [("\U0001f600x", "x"), ("", "")]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.levenshtein("a", "b").alias("n"))
+    assert all(text.distance(r["a"], r["b"]) == r["n"] for r in df.collect())
+
+
+def test_a_page_meets_its_elements_in_one_row(spark):
+    shown = plan(spark, "page_char_errors")
+    assert "Join" not in shown and "levenshtein" not in shown and "MapInArrow" in shown
