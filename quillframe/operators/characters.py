@@ -259,3 +259,24 @@ def large_medians(c: Chars, size: np.ndarray, value: np.ndarray, share: float) -
     at = np.flatnonzero(n)
     begin, n = (np.cumsum(n) - n)[at], n[at]
     return at, {"baseline": (value[begin + (n - 1) // 2] + value[begin + n // 2]) / 2}
+
+
+def groups_of(lines: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """A number for each line, the same for the same values of the columns; nulls are a value."""
+    number = np.zeros(lines.num_rows, np.int64)
+    for name in names:
+        own = lines.column(name).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        number = np.unique(number * (int(own.max(initial=0)) + 1) + own, return_inverse=True)[1]
+    return number
+
+
+def last_places(c: Chars, group: np.ndarray, order: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, code, i) of the last of each group's characters of a code among those held, by the line's order and the place there."""
+    # One sorted number a character: its line and code, then its place.
+    key = np.sort(((c.line[held] << 7 | c.code[held]) << 32) | c.i[held])
+    key = key[np.flatnonzero(np.diff(key >> 32, append=-1))] if len(key) else key
+    line, code, i = key >> 39, (key >> 32) & 127, key & 0xFFFFFFFF
+    by = np.lexsort((i, order[line], code, group[line]))
+    line, code, i = line[by], code[by], i[by]
+    last = np.flatnonzero(np.diff(group[line] << 7 | code, append=-1)) if len(line) else line
+    return line[last], code[last], i[last]

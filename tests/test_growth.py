@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillframe.functions import text
+from quillframe.operators import characters
 from quillframe.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -40,3 +43,17 @@ def test_distance_is_levenshteins(spark):
 def test_a_page_meets_its_elements_in_one_row(spark):
     shown = plan(spark, "page_char_errors")
     assert "Join" not in shown and "levenshtein" not in shown and "MapInArrow" in shown
+
+
+def test_last_places_of_a_groups_characters():
+    lines = pa.RecordBatch.from_pydict({"text": ["abA", "b~", "", "xaé", "aa"], "doc_id": [1, 1, 1, None, None], "ord": [0, 4, 9, 2, 1]})
+    c = characters.Chars(lines, lines.column("text"))
+    line, code, i = characters.last_places(c, characters.groups_of(lines, ["doc_id"]), c.of("ord"), c.code != ord("A"))
+    assert sorted(zip(line.tolist(), map(chr, code), i.tolist(), strict=True)) == [(0, "a", 0), (1, "b", 0), (1, "~", 1), (3, "a", 1), (3, "x", 0)]
+    none = lines.slice(0, 0)
+    assert len(characters.last_places(characters.Chars(none, none.column("text")), characters.groups_of(none, ["doc_id"]), np.zeros(0), np.zeros(0, bool))[0]) == 0
+
+
+def test_no_row_a_character_in_fonts(spark):
+    shown = plan(spark, "fixed_pitch_fonts")
+    assert "MapInArrow" in shown and "regexp_extract_all" not in shown
