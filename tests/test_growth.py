@@ -57,3 +57,11 @@ def test_last_places_of_a_groups_characters():
 def test_no_row_a_character_in_fonts(spark):
     shown = plan(spark, "fixed_pitch_fonts")
     assert "MapInArrow" in shown and "regexp_extract_all" not in shown
+
+
+def test_tokens_are_counted_once_and_not_beyond_the_last_bucket(spark):
+    rows = ["", " \u3000", "x" * 9, "x " * 10, "\\alpha\\beta" * 5, "\\", "\\\n", "\\\\" * 50, "\\ab " * 51, "\x85é\x1cé" * 25, "\\\r" * 50, "\\\U0001f600" * 50, "\\\n" * 50, "\\\n" * 51]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    for n, whole in df.select(text.tex_token_count(F.col("t"), 50), F.size(text.tex_tokens(F.col("t")))).collect():
+        assert n == min(whole, 51)
+    assert plan(spark, "token_bucket_accuracy").count("regexp_extract_all(") == 1
