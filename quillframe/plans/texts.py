@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,13 +124,33 @@ bad as (select distinct n from (select n, unnest(ts) as w from t where len(ts) <
 select doc_id, len(ts) as n_tokens, len(ts) <= 50 and n not in (select n from bad) as in_scope from t""")
 def tex_token_scope(t: Tables) -> DataFrame:
     """At most 50 tokens, all in the vocabulary: the tokens of the training fold."""
-    tokens = fn.tex_tokens(F.coalesce("text", F.lit("")))
-    d = t.table("documents").select("doc_id", tokens.alias("tokens"), F.size(tokens).alias("n_tokens"))
-    vocabulary = d.where("doc_id % 5 <> 0").select(F.explode(F.array_distinct("tokens")).alias("token")).distinct()
-    short = d.where("n_tokens <= 50")
-    unknown = short.select("tokens", F.explode(F.array_distinct("tokens")).alias("token")).join(vocabulary, "token", "left_anti").select("tokens").distinct()
-    judged = short.join(unknown.withColumn("unknown", F.lit(True)), "tokens", "left").select("doc_id", "n_tokens", F.col("unknown").isNull().alias("in_scope"))
-    return judged.unionByName(d.where("n_tokens > 50").select("doc_id", "n_tokens", F.lit(False).alias("in_scope")))
+    texts = t.table("documents").select("doc_id", "text")
+    vocabulary = texts.where("doc_id % 5 <> 0").mapInArrow(tokens_of_batches, "token string").distinct()
+    d = texts.mapInArrow(judged_tokens(50), f"doc_id {texts.dtypes[0][1]}, n_tokens int, tokens array<string>")
+    unknown = d.where("n_tokens <= 50").select("tokens", F.explode("tokens").alias("token")).join(vocabulary, "token", "left_anti").select("tokens").distinct()
+    judged = d.join(unknown.withColumn("unknown", F.lit(True)), "tokens", "left")
+    return judged.select("doc_id", "n_tokens", ((F.col("n_tokens") <= 50) & F.col("unknown").isNull()).alias("in_scope"))
+
+
+def tokens_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of each batch's texts, once a batch."""
+    for batch in batches:
+        known: set[str] = set()
+        for text in batch.column("text"):
+            known |= fn.tex_token_set(text.as_py() or "")[1]
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(known), pa.string())], names=["token"])
+
+
+def judged_tokens(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each document's number of tokens; those that differ, in order, of texts that have no more than most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fn.tex_token_set(text.as_py() or "") for text in batch.column("text")]
+            counts, tokens = [n for n, _ in found], [sorted(ts) if n <= most else None for n, ts in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int32()), pa.array(tokens, pa.list_(pa.string()))], names=["doc_id", "n_tokens", "tokens"])
+
+    return run
 
 
 @query("select 'lang=' || coalesce(lang, 'none') as tag, count(*) as n from documents group by 1 union all select 'long=' || case when n_chars >= 1000 then 'True' else 'False' end, count(*) from documents where n_chars is not null group by 1")

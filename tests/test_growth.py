@@ -65,3 +65,12 @@ def test_tokens_are_counted_once_and_not_beyond_the_last_bucket(spark):
     for n, whole in df.select(text.tex_token_count(F.col("t"), 50), F.size(text.tex_tokens(F.col("t")))).collect():
         assert n == min(whole, 51)
     assert plan(spark, "token_bucket_accuracy").count("regexp_extract_all(") == 1
+
+
+def test_token_sets_are_those_of_the_pattern(spark):
+    rows = ["", "\\", "a\\", "\\\n", "\\\\a", "\\ab1\\c\\,", "\\\r\\\x85", "x \u3000\x1cy\U0001f600\\\U0001f600", "\\\\\\alpha", "no commands, none"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    for t, tokens in df.select("t", text.tex_tokens(F.col("t"))).collect():
+        assert text.tex_token_set(t) == (len(tokens), set(tokens))
+    shown = plan(spark, "tex_token_scope")
+    assert "regexp_extract_all" not in shown and "MapInArrow" in shown
