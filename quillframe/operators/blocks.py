@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import MARKERS, fix_controls, join_wrapped, list_marker, strip, strip_caption_number, strip_heading_number
-from quillframe.operators import layout
-from quillframe.operators.documents import attach_captions
+from quillframe.functions.text import CAPTION_NUMBER, CONTROLS, HEADING_NUMBER, LOST, MARKERS, TABLE_CAPTION, join_wrapped
+from quillframe.operators import characters
 
 MERGED = ("list", "code")
 TITLE = ("title", "author", "date")
 LEAST_WIDTH = 0.05
+#: The patterns of functions/text.py for one text at a time; white space and digits are those of any script here too.
+BREAK, WORDS = re.compile(r"\s*\n\s*"), re.compile(r"(?<=[A-Za-z0-9])\n(?=[A-Za-z0-9])")
+CONTROL, NUMBERED_CAPTION, NUMBERED_HEADING, TABLE_FIRST = (re.compile(p.removeprefix("(?U)")) for p in (LOST, CAPTION_NUMBER, HEADING_NUMBER, TABLE_CAPTION))
+MARKS = {name: re.compile(pattern.removeprefix("(?U)")) for name, pattern in MARKERS.items()}
+MENDED = {c: None for c in range(0xA0) if CONTROL.match(chr(c))} | CONTROLS
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -21,26 +27,101 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def without_marker(line: Column) -> Column:
-    """A list line without the mark it begins with, the first kind that fits."""
-    out = line
-    for pattern in reversed(MARKERS.values()):
-        out = F.when(line.rlike(pattern), strip(F.regexp_replace(line, pattern, ""))).otherwise(out)
+def stripped(line: str, pattern: re.Pattern) -> str:
+    """Without the pattern at its beginning, unless nothing would be left."""
+    left = pattern.sub("", line)
+    return left if left.strip() else line
+
+
+def joined(text: str) -> str:
+    """join_wrapped of one text."""
+    if "\n" not in text:
+        return text.strip()
+    return WORDS.sub(" ", BREAK.sub("\n", text).strip()).replace("\n", "")
+
+
+def mended(text: str | None) -> str | None:
+    """fix_controls of one text."""
+    return text.translate(MENDED) if text and CONTROL.search(text) else text
+
+
+def list_of(texts: list[str]) -> tuple[str, list[str]]:
+    """The mark and the items of consecutive list elements. A marked line begins an item; one without continues the last if its element has marks elsewhere or it is not its first; else it is an item."""
+    marker, items = None, []
+    for text in texts:
+        lines = [x for x in map(str.strip, text.split("\n")) if x]
+        marks = [next(((name, p) for name, p in MARKS.items() if p.search(x)), None) for x in lines]
+        some = any(marks)
+        for k, (line, mark) in enumerate(zip(lines, marks, strict=True)):
+            if mark:
+                marker = marker or mark[0]
+                items.append([mark[1].sub("", line).strip()])
+            elif items and (some or k):
+                items[-1].append(line)
+            else:
+                items.append([line])
+    return marker or "dot", [joined("\n".join(x)) for x in items]
+
+
+def taken_captions(rows: list[tuple]) -> dict[int, int]:
+    """The captions that go to a table or figure, by their places, with its place: a table's takes the next element first, others the one before, if that is free."""
+    target: dict[int, int] = {}
+    used: set[int] = set()
+    for i, r in enumerate(rows):
+        if r[3] == "caption":
+            near = (i + 1, i - 1) if TABLE_FIRST.search(r[4]) else (i - 1, i + 1)
+            free = [j for j in near if 0 <= j < len(rows) and rows[j][0] == r[0] and rows[j][3] in ("table", "figure") and j not in used]
+            if free:
+                target[i] = free[0]
+                used.add(free[0])
+    return target
+
+
+def blocks_of(rows: list[tuple]) -> list[tuple]:
+    """(type, level, text, marker, items, caption, width) of one document's (page, ord, kind, label, text, level, size, x0, x1) in order."""
+    sides = [(r[7], r[8]) for r in rows if r[2] == "text" and r[3] is not None and r[3] != "other"]
+    left, right = (min((x for x, _ in sides if x is not None), default=None), max((x for _, x in sides if x is not None), default=None))
+    half = lambda size: round(size * 2) / 2
+    ranks = {x: k for k, x in enumerate(sorted({half(r[6]) for r in rows if r[3] == "heading" and r[6] is not None}, reverse=True), 1)}
+    target = taken_captions(rows)
+    captions = {j: stripped(joined(rows[i][4]), NUMBERED_CAPTION) for i, j in target.items()}
+    out: list[tuple] = []
+    own = {name: [joined(r[4]) for r in rows if r[3] == name] for name in TITLE}
+    if any(own.values()):
+        out.append(("title", None, joined("\n".join(own["title"])), None, [" ".join(own["author"]), " ".join(own["date"])], None, None))
+    i = 0
+    while i < len(rows):
+        _, _, _, label, text, level, size, x0, x1 = rows[i]
+        begin, i = i, i + 1
+        if label is None or label == "other" or label in TITLE or begin in target:
+            continue
+        if label in MERGED:
+            while i < len(rows) and rows[i][3] == label:
+                i += 1
+            texts = [r[4] for r in rows[begin:i]]
+            if label == "list":
+                out.append(("list", None, None, *list_of(texts), None, None))
+            else:
+                out.append(("code", None, "\n".join(x.rstrip("\n") for x in texts), None, None, None, None))
+            continue
+        kind, found, shown, width = label, None, None, None
+        if label == "heading":
+            found = level if level is not None else 1 if size is None else min(3, ranks[half(size)])
+            shown = stripped(joined(text), NUMBERED_HEADING)
+        elif label == "math":
+            shown = text.strip()
+        elif label in ("paragraph", "caption"):
+            kind, shown = "paragraph", joined(text)
+            if not shown:
+                continue
+        elif label == "figure":
+            wide = left is not None and right is not None and right > left
+            share = (x1 - x0) / (right - left) if wide and x0 is not None and x1 is not None else 1.0
+            kind, width = "image", max(LEAST_WIDTH, min(1.0, share))
+        out.append((kind, found, shown, None, None, captions.get(begin), width))
     return out
 
 
-def list_items(lines: Column) -> Column:
-    """(line, k, has) structs of consecutive list elements -> items. A marked line begins an item; one without continues the last if its element has marks elsewhere or it is not its first; else it is an item."""
-
-    def step(acc: Column, x: Column) -> Column:
-        n = F.size(acc)
-        last = F.concat(F.slice(acc, F.lit(1), n - 1), F.array(F.concat_ws("\n", F.element_at(acc, n), x["line"])))
-        begins = list_marker(x["line"]).isNotNull() | (n == 0) | ~(x["has"] | (x["k"] > 0))
-        return F.when(begins, F.concat(acc, F.array(without_marker(x["line"])))).otherwise(last)
-
-    return F.transform(F.aggregate(lines, F.array().cast("array<string>"), step), join_wrapped)
-
-
 def to_blocks(df: DataFrame) -> DataFrame:
     """df (doc_id, page, ord, kind, label, text, level, size, x0, x1) -> (doc_id, place, type, level, text, marker, items, caption, width), one row a block.
 
@@ -50,39 +131,25 @@ def to_blocks(df: DataFrame) -> DataFrame:
     other, and paragraphs without text, are left out. A missing label is that of
     the kind. Wrapped lines are joined but in code; control characters are mended.
     """
-    d = df.select("doc_id", "page", "ord", "kind", F.coalesce("label", F.when(F.col("kind") == "text", "paragraph").otherwise(F.col("kind"))).alias("label"), F.coalesce("text", F.lit("")).alias("text"), "level", "size", "x0", "x1")
-    area = d.where("kind = 'text' and label <> 'other'").groupBy("doc_id").agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
-    levels = layout.heading_ranks(d.where("label = 'heading'"), ["doc_id"], "size", "level").select("doc_id", "page", "ord", "level_found")
-    captions = attach_captions(d, ["doc_id", "page"]).where("target is not null")
-    of_target = captions.select("doc_id", "page", F.col("target").alias("ord"), F.col("ord").cast("long").alias("from"))
-    order = Window.partitionBy("doc_id").orderBy("page", "ord")
-    d = layout.islands(d.withColumn("new", ~(F.col("label").isin(*MERGED) & F.lag("label").over(order).eqNullSafe(F.col("label")))), ["doc_id"], ["page", "ord"], F.col("new"), "run")
-    texts = d.where("label = 'caption'").select("doc_id", "page", F.col("ord").cast("long").alias("from"), strip_caption_number(join_wrapped(F.col("text"))).alias("caption"))
-    d = d.join(of_target.join(texts, ["doc_id", "page", "from"]).drop("from"), ["doc_id", "page", "ord"], "left")
-    d = d.join(captions.select("doc_id", "page", "ord", F.lit(True).alias("used")), ["doc_id", "page", "ord"], "left").join(levels, ["doc_id", "page", "ord"], "left").join(area, "doc_id", "left")
-    is_ = lambda *labels: F.col("label").isin(*labels)
-    titles = d.where(is_(*TITLE))
-    d = d.where(~is_("other", *TITLE) & F.col("used").isNull())
-    lines = F.filter(F.transform(F.split("text", "\n", -1), strip), lambda x: x != "")
-    has = F.exists(lines, lambda x: list_marker(x).isNotNull())
-    d = d.withColumn("lines", F.when(is_("list"), F.transform(lines, lambda x, k: F.struct(x.alias("line"), k.alias("k"), has.alias("has")))))
-    one = F.when(is_("heading"), strip_heading_number(join_wrapped(F.col("text")))).when(is_("math"), strip(F.col("text"))).when(is_("code"), F.regexp_replace("text", r"\n+\z", "")).when(is_("paragraph", "caption"), join_wrapped(F.col("text")))
-    share = F.try_divide((F.col("x1") - F.col("x0")).cast("double"), (F.col("right") - F.col("left")).cast("double"))
-    width = F.when(is_("figure"), F.round(F.greatest(F.lit(LEAST_WIDTH), F.least(F.lit(1.0), F.when(F.col("right") > F.col("left"), share).otherwise(1.0))), 3))
-    e = d.select("doc_id", "run", F.struct("page", "ord", F.when(is_("caption"), "paragraph").when(is_("figure"), "image").otherwise(F.col("label")).alias("type"), F.when(is_("heading"), F.col("level_found")).alias("level"), one.alias("text"), "lines", "caption", width.alias("width")).alias("e"))
-    g = e.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    first = F.get("es", F.lit(0))
-    every = F.flatten(F.filter(F.transform("es", lambda x: x["lines"]), lambda x: x.isNotNull()))
-    b = g.select("doc_id", "run", first["type"].alias("type"), first["level"].cast("int").alias("level"), F.when(first["type"] == "code", F.array_join(F.transform("es", lambda x: x["text"]), "\n")).otherwise(first["text"]).alias("text"), every.alias("lines"), first["caption"].alias("caption"), first["width"].alias("width"))
-    b = b.where("not (type = 'paragraph' and text = '')")
-    listed = F.col("type") == "list"
-    b = b.select("doc_id", "run", "type", "level", "text", F.when(listed, F.coalesce(F.get(F.filter(F.transform("lines", lambda x: list_marker(x["line"])), lambda m: m.isNotNull()), F.lit(0)), F.lit("dot"))).alias("marker"), F.when(listed, list_items(F.col("lines"))).alias("items"), "caption", "width")
-    part = lambda name, between: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(is_(name), F.struct("page", "ord", join_wrapped(F.col("text")).alias("t"))))), lambda x: x["t"]), between)
-    head = titles.groupBy("doc_id").agg(join_wrapped(part("title", "\n")).alias("text"), F.array(part("author", " "), part("date", " ")).alias("items"))
-    head = head.select("doc_id", F.lit(0).alias("run"), F.lit("title").alias("type"), F.lit(None).cast("int").alias("level"), "text", F.lit(None).cast("string").alias("marker"), "items", F.lit(None).cast("string").alias("caption"), F.lit(None).cast("double").alias("width"))
-    whole = b.unionByName(head)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("run")) - 1
-    return whole.select("doc_id", place.alias("place"), "type", "level", fix_controls(F.col("text")).alias("text"), "marker", F.transform("items", fix_controls).alias("items"), fix_controls(F.col("caption")).alias("caption"), "width")
+    label = F.coalesce(F.col("label"), F.when(F.col("kind") == "text", "paragraph").otherwise(F.col("kind")))
+    row = F.struct("page", "ord", "kind", label.alias("label"), F.coalesce("text", F.lit("")).alias("text"), F.col("level").cast("int").alias("level"), *(F.col(c).cast("double").alias(c) for c in ("size", "x0", "x1")))
+    # A document is one row with all its elements: many share an Arrow batch.
+    docs = df.groupBy("doc_id").agg(F.collect_list(row).alias("rows"))
+    kinds = {"place": pa.int32(), "type": pa.string(), "level": pa.int32(), "text": pa.string(), "marker": pa.string(), "items": pa.list_(pa.string()), "caption": pa.string(), "width": pa.float64()}
+    schema = f"doc_id {docs.dtypes[0][1]}, place int, type string, level int, text string, marker string, items array<string>, caption string, width double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, made = [], []
+            for i, rows in enumerate(characters.rows_of(batch, "rows", ("page", "ord", "kind", "label", "text", "level", "size", "x0", "x1"))):
+                rows.sort(key=lambda r: r[:2])
+                for place, (kind, level, text, marker, items, caption, width) in enumerate(blocks_of(rows)):
+                    at.append(i)
+                    made.append((place, kind, level, mended(text), marker, items and [mended(x) for x in items], mended(caption), width))
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *columns], names=["doc_id", *kinds])
+
+    return docs.mapInArrow(run, schema).withColumn("width", F.round("width", 3))
 
 
 def table_block(cells: Column, aligns: Column, col_rules: Column, row_rules: Column, widths: Column, left: Column, right: Column) -> Column:

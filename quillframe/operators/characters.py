@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -168,6 +169,13 @@ def listed(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, dict[str, pa.A
     return x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), dict(zip(names, fields.flatten(), strict=True))
 
 
+def rows_of(batch: pa.RecordBatch, name: str, fields: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The structs of each list of a column, as tuples."""
+    counts, values = listed(batch, name)
+    every = zip(*(values[c].to_pylist() for c in fields), strict=True)
+    return (list(islice(every, n)) for n in counts.tolist())
+
+
 def region_elements(pages: DataFrame, page: list[str], boxes: Callable[[Chars], dict[str, np.ndarray]], tolerance: float = 5.0) -> DataFrame:
     """(page, region, place, label, box, text) of pages with lines (ord, text) in order and regions (region, kind, top, bottom, column, middle, label) in order: what composites.true_elements makes of characters that are rows. boxes gives characters' baseline, x0, y0, x1 and y1."""
     schema = ", ".join([*(f"`{c}` {kind}" for c, kind in pages.select(*page).dtypes), "region long, place long, label string, x0 double, y0 double, x1 double, y1 double, text string"])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +164,7 @@ def page_char_errors(found: DataFrame, truth: DataFrame, page: list[str], exclud
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, made = [], []
-            rows = [rows_of(batch, "found", ("ord", "x0", "y0", "x1", "y1", "text")), rows_of(batch, "truth", ("ord", "x0", "y0", "x1", "y1", "text", "out"))]
+            rows = [characters.rows_of(batch, "found", ("ord", "x0", "y0", "x1", "y1", "text")), characters.rows_of(batch, "truth", ("ord", "x0", "y0", "x1", "y1", "text", "out"))]
             for i, (own, true) in enumerate(zip(*rows, strict=True)):
                 e = errors_of_page(own, true)
                 if e:
@@ -176,13 +175,6 @@ def page_char_errors(found: DataFrame, truth: DataFrame, page: list[str], exclud
     return pages.mapInArrow(run, schema)
 
 
-def rows_of(batch: pa.RecordBatch, name: str, fields: tuple[str, ...]) -> Iterator[list[tuple]]:
-    """The structs of each list of a column, as tuples."""
-    counts, values = characters.listed(batch, name)
-    every = zip(*(values[c].to_pylist() for c in fields), strict=True)
-    return (list(islice(every, n)) for n in counts.tolist())
-
-
 def errors_of_page(found: list[tuple], truth: list[tuple]) -> tuple[int, int, int] | None:
     """Errors, characters and those of no element of one page; None if it has no block and no such line."""
     shown = lambda t: "".join(t.split())

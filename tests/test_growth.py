@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillframe.functions import text
-from quillframe.operators import characters
+from quillframe.operators import blocks, characters
 from quillframe.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -74,3 +74,15 @@ def test_token_sets_are_those_of_the_pattern(spark):
         assert text.tex_token_set(t) == (len(tokens), set(tokens))
     shown = plan(spark, "tex_token_scope")
     assert "regexp_extract_all" not in shown and "MapInArrow" in shown
+
+
+def test_texts_are_joined_and_mended_as_columns_are(spark):
+    rows = ["", "\n", "a \n b", "a-\nb", "あ\u3000\n\x1cい", "x\x0b\x1fy\x88\x9f", "\x85 a\t", "1\n\n2\n", "\x0b\nfi", "\x00\x7f"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    for t, one, other in df.select("t", text.join_wrapped(F.col("t")), text.fix_controls(F.col("t"))).collect():
+        assert (blocks.joined(t), blocks.mended(t)) == (one, other)
+
+
+def test_a_document_meets_its_elements_in_one_row(spark):
+    shown = plan(spark, "document_blocks")
+    assert shown.count("Join") == 1 and "Window" not in shown and "MapInArrow" in shown
