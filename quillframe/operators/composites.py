@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from quillframe.operators.matching import renamed
 PAGE_NUMBER = r"(?iU)^[-–—\s]*(?:\d+|[ivxlc]+)[-–—\s]*$"
 SECTION_NUMBER = r"(?U)^(\d+(?:\.\d+)*)\.?\s"
 TOP, HEADER_ZONE, BOTTOM = 0.07, 0.15, 0.105
+INPUT = re.compile(r"\\input\{([^}]*)\}")
 LARGE, FIRST_LEVEL, SECOND_LEVEL = 1.15, 1.32, 1.1
 
 
@@ -77,35 +79,82 @@ def char_owners(chars: DataFrame, by: list[str], order: str, char: str, owner: s
 def inline_inputs(mains: DataFrame, files: DataFrame, by: list[str], deepest: int = 20) -> DataFrame:
     r"""mains (by, text) with each \input{name} replaced by the text of by's file (name, text), whose own inputs are replaced too; ".tex" may be left out.
 
-    Texts are cut at their inputs once; a round joins what is still open to the
-    files' pieces, and the pieces are put together at the end, in order of their
-    places. Inputs of no file, or nested deeper than deepest, are an error.
+    Inputs of no file are an error when texts are read, those nested deeper
+    than deepest at once. Of files of one name the first by name and text counts.
     """
-    command = r"\\input\{([^}]*)\}"
-    suffixed = lambda c: F.when(c.rlike(r"[^/]\.tex\z"), c).otherwise(F.concat(F.regexp_replace(c, r"(?<=[^/])\.[^./]+\z", ""), F.lit(".tex")))
-
-    def cut_up(df: DataFrame, keep: list[str]) -> DataFrame:
-        plain = F.split("text", command, -1)
-        names = F.transform(F.regexp_extract_all("text", F.lit(command), F.lit(1)), suffixed)
-        pieces = F.zip_with(plain, names, lambda p, n: F.struct(p.alias("piece"), n.alias("file")))
-        return df.select(*keep, F.posexplode(pieces).alias("k", "x")).select(*keep, "k", "x.piece", "x.file")
-
-    parts = cut_up(files.withColumn("name", suffixed(F.col("name"))), [*by, "name"])
-    whole = cut_up(mains, by).withColumn("place", F.array("k")).drop("k")
-    done = whole.select(*by, "place", "piece")
-    still = whole.where("file is not null").select(*by, "place", "file")
-    inner = parts.select(*(F.col(c).alias(f"own_{c}") for c in by), "name", "k", F.col("piece").alias("inner"), F.col("file").alias("next"))
-    for _ in range(deepest):
-        if still.isEmpty():
-            break
-        met = still.join(inner, [F.col("file") == F.col("name"), *(F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in by)], "left")
-        piece = F.when(F.col("name").isNull(), F.raise_error(F.concat(F.lit("no file "), F.col("file"))).cast("string")).otherwise(F.col("inner"))
-        met = met.select(*by, F.concat("place", F.array(F.lit(0), F.coalesce("k", F.lit(0)))).alias("place"), piece.alias("piece"), F.col("next").alias("file"))
-        done = done.unionByName(met.select(*by, "place", "piece"))
-        still = met.where("file is not null").select(*by, "place", "file")
-    else:
+    sides = [F.lit(None).cast("string").alias("main"), F.struct("name", "text").alias("file")], [F.col("text").alias("main"), F.lit(None).cast("struct<name:string,text:string>").alias("file")]
+    every = files.where("text is not null").select(*by, *sides[0]).unionByName(mains.select(*by, *sides[1]))
+    return inlined(every.groupBy(*by).agg(F.collect_list("main").alias("mains"), F.collect_list("file").alias("files")), by, deepest)
+
+
+def inlined(groups: DataFrame, by: list[str], deepest: int = 20) -> DataFrame:
+    """inline_inputs of texts (mains) that are one row with all their files (name, text); many share an Arrow batch."""
+    keys = groups.select(*by)
+
+    def run(keep: list[str], make: Callable[[str, dict[str, list[str]]], str | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, texts = [], []
+                for i, (mains, files) in enumerate(zip(batch.column("mains"), characters.rows_of(batch, "files", ("name", "text")), strict=True)):
+                    parts = {suffixed(name): cut_up(text) for name, text in sorted(files, reverse=True)}
+                    for text in mains.as_py():
+                        made = make(text, parts)
+                        if made is not None:
+                            at.append(i)
+                            texts.append(made)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+
+        return of_batches
+
+    def too_deep(text: str, parts: dict[str, list[str]]) -> str | None:
+        # Names alone; what is no file is found when texts are read.
+        bare = {name: ["" if i % 2 == 0 else x for i, x in enumerate(pieces)] for name, pieces in parts.items()}
+        try:
+            put_in_place(text, bare, deepest, missing=[""])
+        except RecursionError:
+            return ""
+        return None
+
+    if not groups.mapInArrow(run([], too_deep), "text string").isEmpty():
         raise ValueError(f"inputs are nested deeper than {deepest}")
-    return done.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in keys.dtypes), "text string"])
+    return groups.mapInArrow(run(by, lambda text, parts: put_in_place(text, parts, deepest)), schema)
+
+
+def suffixed(name: str) -> str:
+    """The name of a source with ".tex" for any other ending."""
+    return name if re.search(r"[^/]\.tex\Z", name) else re.sub(r"(?<=[^/])\.[^./]+\Z", "", name) + ".tex"
+
+
+def cut_up(text: str) -> list[str]:
+    """A text cut at its inputs: every second piece is the name of one."""
+    pieces = INPUT.split(text)
+    pieces[1::2] = map(suffixed, pieces[1::2])
+    return pieces
+
+
+def put_in_place(text: str, parts: dict[str, list[str]], deepest: int, missing: list[str] | None = None) -> str:
+    """A text with the files' pieces at its inputs, each file put together once; missing stands for what is no file."""
+    known: dict[str, tuple[str, int]] = {}
+
+    def whole(pieces: list[str], level: int) -> tuple[str, int]:
+        if level > deepest:
+            raise RecursionError(f"inputs are nested deeper than {deepest}")
+        out, height = list(pieces), 0
+        for i in range(1, len(pieces), 2):
+            name = pieces[i]
+            if name not in known:
+                own = parts.get(name, missing)
+                if own is None:
+                    raise LookupError(f"no file {name}")
+                known[name] = whole(own, level + 1)
+            out[i] = known[name][0]
+            height = max(height, known[name][1] + 1)
+        if level + height > deepest:
+            raise RecursionError(f"inputs are nested deeper than {deepest}")
+        return "".join(out), height
+
+    return whole(cut_up(text), 0)[0]
 
 
 LINE = "struct<ord:bigint,label:string,x0:double,y0:double,x1:double,y1:double,size:double,text:string>"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quillframe.functions import text
-from quillframe.operators import blocks, characters
+from quillframe.operators import blocks, characters, composites
 from quillframe.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -86,3 +87,17 @@ def test_texts_are_joined_and_mended_as_columns_are(spark):
 def test_a_document_meets_its_elements_in_one_row(spark):
     shown = plan(spark, "document_blocks")
     assert shown.count("Join") == 1 and "Window" not in shown and "MapInArrow" in shown
+
+
+def test_sources_are_dealt_once(spark):
+    shown = plan(spark, "inlined_sources")
+    assert "Join" not in shown and "Union" not in shown and shown.count("RepartitionByExpression") == 1
+
+
+def test_inputs_count_as_deep_as_they_nest(spark):
+    parts = {f"{k}.tex": ["", f"{k + 1}.tex", ""] for k in range(3)} | {"3.tex": ["x"]}
+    assert composites.put_in_place(r"\input{0}-\input{2.bak}", parts, 4) == "x-x"
+    # The second is put together before it is met deeper.
+    for text in (r"\input{0}", r"\input{2}\input{0}"):
+        with pytest.raises(RecursionError, match="deeper"):
+            composites.put_in_place(text, parts, 3)
