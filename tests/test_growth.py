@@ -55,8 +55,9 @@ def test_last_places_of_a_groups_characters():
     assert len(characters.last_places(characters.Chars(none, none.column("text")), characters.groups_of(none, ["doc_id"]), np.zeros(0), np.zeros(0, bool))[0]) == 0
 
 
-def test_no_row_a_character_in_fonts(spark):
-    shown = plan(spark, "fixed_pitch_fonts")
+@pytest.mark.parametrize("name", ["fixed_pitch_fonts", "glyph_ratios"])
+def test_no_row_a_character(spark, name):
+    shown = plan(spark, name)
     assert "MapInArrow" in shown and "regexp_extract_all" not in shown
 
 
